@@ -63,8 +63,7 @@ def flight(size: np.ndarray, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Moves probabilities p through the null space of (size, 1); at most two stay fractional.
 
     rest: uniform numbers, one per unit, that choose the direction of each move. Units enter one by one: of three
-    open ones, a move along the null vector brings one or more to 0 or 1 and keeps both totals. Callers sort by
-    falling size, so that the last open ones are small and landing moves the totals little.
+    open ones, a move along the null vector brings one or more to 0 or 1 and keeps both totals.
     """
     p = p.copy()
     live: list[int] = []
@@ -92,15 +91,30 @@ def flight(size: np.ndarray, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return p
 
 
-def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Settles at most two open units: of the outcomes, the one whose sizes (then number) come nearest to the expected."""
+def landing(size: np.ndarray, p: np.ndarray, was: np.ndarray, flips: int = 4) -> np.ndarray:
+    """Settles at most two open units, then repairs the total.
+
+    Of the outcomes, the one whose sizes (then number) come nearest to the expected. A long document may leave a
+    gap; at most a few units that were open before the flight (was) are flipped, each time the one that brings the
+    total nearest, while that helps.
+    """
     p = p.copy()
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     want, number = float((size[open_] * p[open_]).sum()), float(p[open_].sum())
     best = min(range(2 ** len(open_)), key=lambda m: (abs(sum(size[k] for j, k in enumerate(open_) if m >> j & 1) - want), abs(bin(m).count("1") - number), m))
     for j, k in enumerate(open_):
         p[k] = best >> j & 1
-    return np.round(p)
+    p = np.round(p)
+    gap = float(size[open_] @ p[open_]) - want
+    free = np.flatnonzero((was > EPS) & (was < 1 - EPS))
+    for _ in range(flips if len(free) else 0):
+        after = np.abs(gap + np.where(p[free] > 0, -size[free], size[free]))
+        k = int(after.argmin())
+        if after[k] >= abs(gap):
+            break
+        gap += -size[free[k]] if p[free[k]] > 0 else size[free[k]]
+        p[free[k]] = 1 - p[free[k]]
+    return p
 
 
 def _level(units: DataFrame, last: bool, group: int, level: int, seed: int) -> DataFrame:
@@ -108,7 +122,7 @@ def _level(units: DataFrame, last: bool, group: int, level: int, seed: int) -> D
     spread = F.greatest(F.lit(1), F.ceil(F.col("n_open") / group)).cast("long")
     keyed = units.select("doc_id", "source_no", "size", "whole", "p", "tie", F.col("source_no").alias("g0"), F.pmod(F.xxhash64("doc_id", "size", "tie", F.lit(seed + level)), spread).alias("g1"))
     keyed = keyed.withColumn("g", F.xxhash64("g0", "g1")).withColumn("u", F.xxhash64("doc_id", "size", "tie", F.lit(seed)).alias("u"))
-    sorted_ = keyed.repartition("g").sortWithinPartitions("g", "g0", "g1", F.desc("size"), "u", "doc_id", "tie")
+    sorted_ = keyed.repartition("g").sortWithinPartitions("g", "g0", "g1", "u", "doc_id", "size", "tie")
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g", 2 * group):
@@ -119,7 +133,7 @@ def _level(units: DataFrame, last: bool, group: int, level: int, seed: int) -> D
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
                     moved = flight(size[a:b], p[a:b], rest[a:b])
-                    p[a:b] = landing(size[a:b], moved) if last else moved
+                    p[a:b] = landing(size[a:b], moved, p[a:b]) if last else moved
             yield from table.drop_columns(["p", "g", "g0", "g1", "u"]).append_column("p", pa.array(p, pa.float64())).combine_chunks().to_batches()
 
     return sorted_.mapInArrow(move, "doc_id long, source_no long, size long, whole long, tie long, p double")
