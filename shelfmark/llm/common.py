@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,7 +36,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def put(df: DataFrame, path: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there, a lost executor costs nothing."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(out.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of ended jobs' shuffle files: Spark deletes them once the driver's objects for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
