@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, ngram_join, token_counts, vector_dedup
+from . import ann, chat, langid, mixing, ngram_join, pieces, token_counts, vector_dedup
+from .common import text_of
 
 #: A text over this many tokens doesn't fit the context window.
 TOKEN_LIMIT = 4096
@@ -27,6 +28,22 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes it again; digests of both sides show that nothing is lost."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    docs = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    encoded = pieces.encode(docs, model, ["doc_id", "n_bytes", "text_sha256"])
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    encoded = encoded.select("doc_id", "n_bytes", "text_sha256", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"))
+    decoded = pieces.decode(encoded, model, ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "text_sha256"])
+    return decoded.select("doc_id", "n_bytes", "n_pieces", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("same"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -49,6 +66,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mix": op2_source_mix,
+    "op3_language_id": op3_language_id,
+    "op4_pieces": op4_pieces,
     "op5_chat_format": op5_chat_format,
     "op6_vector_dedup": op6_vector_dedup,
     "op9_vector_search": op9_vector_search,
