@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, ngram_join, pieces, token_counts, vector_dedup
+from . import ann, chat, langid, mixing, ngram_join, pieces, suffix_dedup, token_counts, vector_dedup
 from .common import text_of
 
 #: A text over this many tokens doesn't fit the context window.
@@ -55,6 +55,10 @@ def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept")
+
+
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op5_chat_format": op5_chat_format,
     "op6_vector_dedup": op6_vector_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_vector_search": op9_vector_search,
     "op10_ngram_join": op10_ngram_join,
 }
