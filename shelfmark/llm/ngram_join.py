@@ -6,7 +6,7 @@ n - ceil(n * percent / 100) + 1 shingles. Documents with the same prefix and siz
 are filtered by shared prefix shingles; what passes is expanded to distinct sets (documents with the same set are
 one from the start), filtered by size and position, and verified on the whole sets.
 
-Frequent shingles: each task reports those in a thousandth of its documents; the table that is broadcast keeps at
+Frequent shingles: each task reports those in a thousandth of the documents that it counts together; the table that is broadcast keeps at
 most FREQUENT of them, by count. It only sets the order, so the result doesn't depend on it.
 
 Pairs are verified in two rounds. First each set is compared with one set only, the smallest of its size band with
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import put, text_chunks, work_dir
+from .common import discard, put, text_chunks, work_dir
 from .components import connected
 from .shingles import mix, shingle_sets
 
 #: Most frequent shingles that are broadcast (12 bytes each).
 FREQUENT = 1 << 18
+#: Shingles of a task's documents that are counted together (8 bytes each).
+COUNTED = 3_000_000
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -95,11 +97,28 @@ def _prefixes(docs: DataFrame, k: int, percent: int, often: DataFrame) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
 
 
-def _fits(nx: str, ny: str, px: str, py: str, percent: int) -> Column:
-    """Size and position filter: whether two sets that share a shingle at places px and py (from 0) may still link."""
-    nx, ny, px, py = F.col(nx), F.col(ny), F.col(px), F.col(py)
-    small, large = F.least(nx, ny), F.greatest(nx, ny)
-    return (small * 100 >= large * percent) & ((1 + F.least(nx - px - 1, ny - py - 1)) * (100 + percent) >= (nx + ny) * percent)
+def _sizes_fit(percent: int) -> Column:
+    return F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+
+
+def _places_fit(percent: int) -> Column:
+    """Position filter: sets of sizes x_n and y_n whose first common shingle is at x_pos and y_pos (from 0) may still link."""
+    return F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+
+
+def _enough(percent: int) -> Column:
+    """Count filter: with c common prefix shingles, sets of sizes x_n and y_n may still link.
+
+    Of the two prefixes one ends first in the global order. Its shingles that the other set holds are all in the
+    other's prefix too, so that the sets share at most c and what lies behind the prefix, ceil(n * percent / 100) - 1.
+    """
+    behind = F.greatest(_need(F.col("x_n"), percent), _need(F.col("y_n"), percent)) - 1
+    return (F.col("c") + behind) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+
+
+def _folder(df: DataFrame) -> list[str]:
+    """The folder of a table that put() wrote."""
+    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -136,11 +155,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     lists = post.join(shared, "shingle").join(units.select("p1", "p2", "unit", F.col("n").alias("un")), ["p1", "p2"]).where("n = un").select("shingle", "pos", "n", "unit")
     lists = put(lists, work_dir(spark, "join-lists"))
 
+    discard(spark, *(x for t in (post, shared) for x in _folder(t)))
+
     band = F.floor(F.log("n") / float(-np.log(percent / 100))).alias("band")
     banded = lists.select("*", band)
     lead = put(banded.groupBy("shingle", "band").agg(F.min(F.struct("n", "unit", "pos")).alias("lead")), work_dir(spark, "join-leads"))
-    star = banded.join(lead, ["shingle", "band"]).select("unit", "n", "pos", F.col("lead.unit").alias("b"), F.col("lead.n").alias("bn"), F.col("lead.pos").alias("bp")).where("unit <> b").where(_fits("n", "bn", "pos", "bp", percent))
-    best = star.groupBy("unit", "b").agg(F.count("*").alias("c")).groupBy("unit").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
+    star = banded.join(lead, ["shingle", "band"]).select("unit", F.col("n").alias("x_n"), F.col("lead.unit").alias("b"), F.col("lead.n").alias("y_n")).where("unit <> b")
+    some = star.groupBy("unit", "b", "x_n", "y_n").agg(F.count("*").alias("c")).where(_enough(percent))
+    best = some.groupBy("unit").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
     first = put(best.select(F.col("unit").alias("a"), (-F.col("best.b")).alias("b")), work_dir(spark, "join-first"))
     links = put(_verified(first, docs, k, percent), work_dir(spark, "join-links1"))
 
@@ -149,7 +171,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     split = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     open_ = put(placed.join(put(split, work_dir(spark, "join-split")), "shingle"), work_dir(spark, "join-open"))
     left, right = (open_.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "n", "unit", "component"))) for s in "xy")
-    pairs = left.join(right, "shingle").where("x_component < y_component").where(_fits("x_n", "y_n", "x_pos", "y_pos", percent)).select(F.col("x_unit").alias("a"), F.col("y_unit").alias("b")).distinct()
+    both = left.join(right, "shingle").where("x_component < y_component").where(_sizes_fit(percent))
+    pairs = both.groupBy(F.col("x_unit").alias("a"), F.col("y_unit").alias("b"), "x_n", "y_n").agg(F.count("*").alias("c"), F.max(_places_fit(percent)).alias("fit")).where("fit").where(_enough(percent)).select("a", "b")
     seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = put(pairs.join(seen, ["a", "b"], "left_anti"), work_dir(spark, "join-rest"))
     more = put(_verified(rest, docs, k, percent), work_dir(spark, "join-links2"))
