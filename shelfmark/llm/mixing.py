@@ -140,7 +140,7 @@ def _level(units: DataFrame, last: bool, group: int, level: int, seed: int) -> D
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, group: int = 2048, seed: int = 20_240) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target (of its source), taken (words the mix takes, copies counted)."""
+    """Per row of docs: doc_id, size, source_size, target (of its source), taken (words the mix takes, copies counted), copies."""
     spark = docs.sparkSession
     sized = put(measure(docs), work_dir(spark, "mix-sizes"))
     by = put(targets(sized, weights, most).withColumn("source_no", F.xxhash64("source", F.col("source").isNull())), work_dir(spark, "mix-targets"))
@@ -166,5 +166,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     settled = done[0]
     for x in done[1:]:
         settled = settled.unionByName(x)
+    settled = settled.withColumn("copies", F.col("whole") + F.round("p").cast("long"))
     return settled.join(by.select("source_no", "source_size", "target"), "source_no").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.round("p").cast("long"))).alias("taken"))
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
