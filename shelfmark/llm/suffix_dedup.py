@@ -36,7 +36,7 @@ from .suffix_array import common_prefixes, concatenated, suffix_array
 
 LENGTH, GRAM, BLOCK, MOST_ROWS = 400, 128, 16, 8192
 #: Bytes of text, of one or more documents, that the anchor scan takes at a time; fits the 24 bits of a place.
-SCAN = 4_000_000
+SCAN = 2_000_000
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 
