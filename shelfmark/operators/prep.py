@@ -230,6 +230,6 @@ def scalar_math(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.round(F.sqrt(q), 6).alias("root"), F.round(1 / (1 + q), 6).alias("similarity"), F.when(d != 0, F.round(t / d, 6)).alias("ratio"), F.round(F.pow(d, F.lit(2)), 6).alias("square"), F.round(F.ln(q), 6).alias("log_"), F.round(F.exp(-d), 6).alias("exp_"), F.abs(d - t).alias("gap"))
 
 
-@query("date_tag", "SELECT event_id, strftime(ts, '%m%d_%H%M') AS tag, CAST(ts + INTERVAL 1 DAY AS TIMESTAMP) AS next_day FROM events")
+@query("date_tag", "SELECT event_id, strftime(ts, '%m%d_%H%M') AS tag, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS next_day FROM events")
 def date_tag(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.date_format("ts", "MMdd_HHmm").alias("tag"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("next_day"))
+    return table(spark, sf, "events").select("event_id", F.date_format("ts", "MMdd_HHmm").alias("tag"), F.date_format(F.col("ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss").alias("next_day"))

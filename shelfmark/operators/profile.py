@@ -162,7 +162,7 @@ def identical_vectors(spark, sf):
     return binary_vectors(spark, sf).groupBy("user_id", "vector").agg(F.count("*").alias("n"))
 
 
-_NB = "nb AS (SELECT user_id, good, term, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-12 THEN 0.05 ELSE stddev_pop(x) END AS sd FROM g GROUP BY 1, 2, 3)"
+_NB = "nbp AS (SELECT user_id, good, term, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-12 THEN 0.05 ELSE stddev_pop(x) END AS sd FROM g GROUP BY 1, 2, 3)"
 
 
 def nb_params(g: DataFrame) -> DataFrame:
@@ -170,13 +170,13 @@ def nb_params(g: DataFrame) -> DataFrame:
     return g.groupBy("user_id", "good", "term").agg(F.avg("weight").alias("mean"), F.when(sd < 1e-12, 0.05).otherwise(sd).alias("sd"))
 
 
-@query("naive_bayes_params", f"WITH {LAB}, {TERM}, {GRID}, {_NB} SELECT user_id, good, term, round(mean, 6) AS mean, round(sd, 6) AS sd FROM nb")
+@query("naive_bayes_params", f"WITH {LAB}, {TERM}, {GRID}, {_NB} SELECT user_id, good, term, round(mean, 6) AS mean, round(sd, 6) AS sd FROM nbp")
 def naive_bayes_params(spark, sf):
     return nb_params(grid(*selected(spark, sf))).select("user_id", "good", "term", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 _NBP = f"""{LAB}, {TERM}, {GRID}, {_NB},
-pd AS (SELECT g.user_id, doc_id, g.good AS actual, nb.good AS class, exp(greatest(-700, -pow(x - mean, 2) / (2 * sd * sd))) / (sd * sqrt(2 * pi())) AS p, -pow(x - mean, 2) / (2 * sd * sd) < -700 AS under FROM g JOIN nb ON nb.user_id = g.user_id AND nb.term = g.term),
+pd AS (SELECT g.user_id, doc_id, g.good AS actual, nbp.good AS class, exp(greatest(-700, -pow(x - mean, 2) / (2 * sd * sd))) / (sd * sqrt(2 * pi())) AS p, -pow(x - mean, 2) / (2 * sd * sd) < -700 AS under FROM g JOIN nbp ON nbp.user_id = g.user_id AND nbp.term = g.term),
 ll AS (SELECT user_id, doc_id, actual, sum(CASE WHEN under THEN -10000 ELSE ln(p) END) FILTER (class = 1) + ln(0.5) AS lg, sum(CASE WHEN under THEN -10000 ELSE ln(p) END) FILTER (class = 0) + ln(0.5) AS lb FROM pd GROUP BY 1, 2, 3),
 np AS (SELECT user_id, doc_id, actual, 1 / (1 + exp(least(700, greatest(-700, lb - lg)))) AS prob_good FROM ll
   UNION ALL SELECT user_id, doc_id, good, CASE WHEN n_bad = 0 THEN 1.0 ELSE 0.0 END FROM lb JOIN nc USING (user_id) WHERE n_bad = 0 OR n_good = 0)"""
