@@ -200,21 +200,21 @@ for _m in METRICS:
     _neighbour_query(_m)
 
 
-@query("knn_predict_all_k", f"WITH {_KNN}, {_VOTE} SELECT user_id, item_id, metric, k, round(pred, 5) AS pred FROM vote WHERE k >= 2")
+@query("knn_predict_all_k", f"WITH {_KNN}, {_VOTE} SELECT user_id, item_id, metric, k, round(pred + 1e-9, 5) AS pred FROM vote WHERE k >= 2")
 def knn_predict_all_k(spark, sf):
-    return votes(neighbours(*train_and_targets(spark, sf))).where("k >= 2").select("user_id", "item_id", "metric", F.col("k").cast("long").alias("k"), F.round("pred", 5).alias("pred"))
+    return votes(neighbours(*train_and_targets(spark, sf))).where("k >= 2").select("user_id", "item_id", "metric", F.col("k").cast("long").alias("k"), F.round(F.col("pred") + 1e-9, 5).alias("pred"))
 
 
 @query("knn_predict_norm", f"""WITH {_KNN}, im AS (SELECT item_id, avg(rating) AS item_mean FROM tr GROUP BY 1),
 vn AS (SELECT top.* EXCLUDE (rating), top.rating - im.item_mean + 0.001 AS rating FROM top JOIN im ON im.item_id = top.neighbour), {_VOTE.replace("FROM top)", "FROM vn)")}
-SELECT user_id, vote.item_id, metric, k, round(least(5, greatest(1, pred - 0.001 + im.item_mean)), 5) AS pred FROM vote JOIN im ON im.item_id = vote.item_id WHERE k >= 2""")
+SELECT user_id, vote.item_id, metric, k, round(least(5, greatest(1, pred - 0.001 + im.item_mean)) + 1e-9, 5) AS pred FROM vote JOIN im ON im.item_id = vote.item_id WHERE k >= 2""")
 def knn_predict_norm(spark, sf):
     """Votes of item-centred ratings (raw similarities), brought back by the target's mean and clamped to 1..5."""
     train, targets = train_and_targets(spark, sf)
     means = train.groupBy("item_id").agg(F.avg("rating").alias("item_mean"))
     pred = votes(neighbours(train, targets, normalized(train, 0.001)))
     back = pred.join(means, "item_id").where("k >= 2")
-    return back.select("user_id", "item_id", "metric", F.col("k").cast("long").alias("k"), F.round(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("pred") - 0.001 + F.col("item_mean"))), 5).alias("pred"))
+    return back.select("user_id", "item_id", "metric", F.col("k").cast("long").alias("k"), F.round(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("pred") - 0.001 + F.col("item_mean"))) + 1e-9, 5).alias("pred"))
 
 
 def predicted(spark: SparkSession, sf: str, ks: tuple[int, ...] = (2, 10, 30)) -> DataFrame:

@@ -218,9 +218,9 @@ def hybrid(spark, sf) -> DataFrame:
     return nb_predictions(spark, sf).join(cf, "doc_id").select("doc_id", "actual", "cf", F.col("prob_good").alias("cb"), (F.col("cf") / 100 * 0.5 + F.col("prob_good") * 0.5).alias("blend"))
 
 
-@query("hybrid_blend", f"WITH {_HY} SELECT doc_id, actual, round(cf, 4) AS cf, round(cb, 4) AS cb, round(blend, 4) AS blend FROM hy")
+@query("hybrid_blend", f"WITH {_HY} SELECT doc_id, actual, round(cf + 1e-9, 4) AS cf, round(cb + 1e-9, 4) AS cb, round(blend + 1e-9, 4) AS blend FROM hy")
 def hybrid_blend(spark, sf):
-    return hybrid(spark, sf).select("doc_id", "actual", *[F.round(c, 4).alias(c) for c in ("cf", "cb", "blend")])
+    return hybrid(spark, sf).select("doc_id", "actual", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("cf", "cb", "blend")])
 
 
 @query("hybrid_confusion", f"WITH {_HY}, c AS (SELECT count(*) AS n, count(*) FILTER (blend > 0.5 AND actual = 1) AS tp, count(*) FILTER (blend > 0.5 AND actual = 0) AS fp, count(*) FILTER (blend <= 0.5 AND actual = 1) AS fn, count(*) FILTER (blend <= 0.5 AND actual = 0) AS tn FROM hy) SELECT *, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision_, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c")

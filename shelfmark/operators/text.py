@@ -131,15 +131,15 @@ def idf_(spark, sf):
     return inverse_frequency(tf, table(spark, sf, "documents").agg(F.count("*").alias("N"))).select("term", F.round("idf", 6).alias("idf"))
 
 
-@query("tfidf", f"WITH {TOK} SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
+@query("tfidf", f"WITH {TOK} SELECT doc_id, term, round(weight + 1e-10, 6) AS weight FROM tfidf")
 def tfidf(spark, sf):
-    return tf_idf(spark, sf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return tf_idf(spark, sf).select("doc_id", "term", F.round(F.col("weight") + 1e-10, 6).alias("weight"))
 
 
-@query("tfidf_top_terms", f"WITH {TOK} SELECT doc_id, term, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM tfidf) WHERE rank <= 5")
+@query("tfidf_top_terms", f"WITH {TOK} SELECT doc_id, term, round(weight + 1e-10, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM tfidf) WHERE rank <= 5")
 def tfidf_top_terms(spark, sf):
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
-    return tf_idf(spark, sf).withColumn("rank", rank.cast("long")).where("rank <= 5").select("doc_id", "term", F.round("weight", 6).alias("weight"), "rank")
+    return tf_idf(spark, sf).withColumn("rank", rank.cast("long")).where("rank <= 5").select("doc_id", "term", F.round(F.col("weight") + 1e-10, 6).alias("weight"), "rank")
 
 
 SENT = f"""st AS (SELECT doc_id, s, list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}]+'), lambda w: w <> '') AS ws FROM (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS s FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.?!]'), lambda x: x <> '') AS parts FROM documents))),
