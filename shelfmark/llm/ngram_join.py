@@ -52,12 +52,23 @@ def _need(n: Column | int, percent: int):
 def frequent_shingles(docs: DataFrame, k: int) -> DataFrame:
     """shingle, n: a lower bound of the number of documents, for shingles that are frequent in some task."""
 
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(sets), return_counts=True)
+        on = n >= max(3, len(sets) // 1000)
+        return pa.RecordBatch.from_arrays([pa.array(values[on].view(np.int64)), pa.array(n[on])], ["shingle", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches, "text", 16_000_000):
-            sets = shingle_sets([x.encode() for x in texts], k)
-            values, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= max(3, len(texts) // 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+        held: list[np.ndarray] = []
+        size = 0
+        for _, texts in text_chunks(batches, "text"):
+            for s in shingle_sets([x.encode() for x in texts], k):
+                held.append(s)
+                size += len(s)
+            if size > COUNTED:
+                yield often(held)
+                held, size = [], 0
+        if held:
+            yield often(held)
 
     return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
