@@ -9,8 +9,8 @@ one from the start), filtered by size and position, and verified on the whole se
 Frequent shingles: each task reports those in a thousandth of the documents that it counts together; the table that is broadcast keeps at
 most FREQUENT of them, by count. It only sets the order, so the result doesn't depend on it.
 
-Pairs are verified in two rounds. First each set is compared with one set only, the smallest of its size band with
-which it shares most prefix shingles; that unites large groups of copies without listing their pairs. Then all
+Pairs are verified in two rounds. First each set is compared with one set only: of the sets of its size band, the
+one that shares most of its own prefix with others, in as many lists as possible; that unites large groups of copies without listing their pairs. Then all
 candidate pairs that still lie in different components are verified. No link between components is lost.
 
 Cases: a document without words (or null text) has an empty set and links with nothing; one with fewer than k words
@@ -169,9 +169,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     discard(spark, *(x for t in (post, shared) for x in _folder(t)))
 
     band = F.floor(F.log("n") / float(-np.log(percent / 100))).alias("band")
-    banded = lists.select("*", band)
-    lead = put(banded.groupBy("shingle", "band").agg(F.min(F.struct("n", "unit", "pos")).alias("lead")), work_dir(spark, "join-leads"))
-    star = banded.join(lead, ["shingle", "band"]).select("unit", F.col("n").alias("x_n"), F.col("lead.unit").alias("b"), F.col("lead.n").alias("y_n")).where("unit <> b")
+    # the set of a band that shares the most of its prefix is the one that its copies were made from, or near it
+    known_part = lists.groupBy("unit").agg((F.count("*") / F.max("n")).alias("part"))
+    banded = put(lists.select("*", band).join(known_part, "unit"), work_dir(spark, "join-banded"))
+    lead = put(banded.groupBy("shingle", "band").agg(F.max(F.struct("part", (-F.col("unit")).alias("unit"), "n")).alias("lead")), work_dir(spark, "join-leads"))
+    star = banded.join(lead, ["shingle", "band"]).select("unit", F.col("n").alias("x_n"), (-F.col("lead.unit")).alias("b"), F.col("lead.n").alias("y_n")).where("unit <> b")
     some = star.groupBy("unit", "b", "x_n", "y_n").agg(F.count("*").alias("c")).where(_enough(percent))
     best = some.groupBy("unit").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
     first = put(best.select(F.col("unit").alias("a"), (-F.col("best.b")).alias("b")), work_dir(spark, "join-first"))
@@ -182,10 +184,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     split = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     open_ = put(placed.join(put(split, work_dir(spark, "join-split")), "shingle"), work_dir(spark, "join-open"))
     left, right = (open_.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "n", "unit", "component"))) for s in "xy")
-    both = left.join(right, "shingle").where("x_component < y_component").where(_sizes_fit(percent))
-    pairs = both.groupBy(F.col("x_unit").alias("a"), F.col("y_unit").alias("b"), "x_n", "y_n").agg(F.count("*").alias("c"), F.max(_places_fit(percent)).alias("fit")).where("fit").where(_enough(percent)).select("a", "b")
+    pairs = left.join(right, "shingle").where("x_component < y_component").where(_sizes_fit(percent) & _places_fit(percent)).select(F.col("x_unit").alias("a"), F.col("y_unit").alias("b"), "x_n", "y_n").distinct()
     seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = put(pairs.join(seen, ["a", "b"], "left_anti"), work_dir(spark, "join-rest"))
+    by_id = put(prefix.select("doc_id", "prefix"), work_dir(spark, "join-unit-prefixes"))
+    counted = rest.join(by_id.select(F.col("doc_id").alias("a"), F.col("prefix").alias("x")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("prefix").alias("y")), "b")
+    counted = counted.withColumn("c", F.size(F.array_intersect("x", "y"))).where(_enough(percent)).select("a", "b").distinct()
+    rest = put(counted, work_dir(spark, "join-counted"))
     more = put(_verified(rest, docs, k, percent), work_dir(spark, "join-links2"))
     final = put(connected(links.unionByName(more)), work_dir(spark, "join-final"))
 
