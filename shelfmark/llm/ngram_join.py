@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, put, text_chunks, work_dir
@@ -35,6 +35,10 @@ from .shingles import mix, shingle_sets
 FREQUENT = 1 << 18
 #: Shingles of a task's documents that are counted together (8 bytes each).
 COUNTED = 3_000_000
+#: Bits of the broadcast filter of named documents (1 MB).
+NAMED_BITS = 1 << 23
+#: Longs of a prefix's bitmap, of which each holds 63 bits.
+WORDS = 4
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -117,14 +121,14 @@ def _places_fit(percent: int) -> Column:
     return F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
 
 
-def _enough(percent: int) -> Column:
+def _enough(percent: int, c: Column | None = None) -> Column:
     """Count filter: with c common prefix shingles, sets of sizes x_n and y_n may still link.
 
     Of the two prefixes one ends first in the global order. Its shingles that the other set holds are all in the
     other's prefix too, so that the sets share at most c and what lies behind the prefix, ceil(n * percent / 100) - 1.
     """
     behind = F.greatest(_need(F.col("x_n"), percent), _need(F.col("y_n"), percent)) - 1
-    return (F.col("c") + behind) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    return ((F.col("c") if c is None else c) + behind) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
 
 
 def _folder(df: DataFrame) -> list[str]:
@@ -132,22 +136,46 @@ def _folder(df: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df that ids may name (both by doc_id), before what they hold is shuffled; an exact join must follow.
+
+    A filter of NAMED_BITS bits is broadcast: at most 1 MB, whatever the number of ids; more ids make it let more through.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(NAMED_BITS))
+    key, place = F.floor(at / 32768).alias("bucket"), F.pmod(at, F.lit(32768)).cast("int")
+    maps = ids.groupBy(key).agg(F.bitmap_construct_agg(place.cast("long")).alias("bits"))
+    out = df.withColumns({"bucket": key, "place": place}).join(F.broadcast(maps), "bucket")
+    return out.where("(shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), place % 8) & 1) = 1").select(df.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, judged on the whole sets."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets([x.encode() for x in texts], k)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").mapInArrow(cut, "doc_id long, shingles array<long>")
-    sets = put(sets, work_dir(spark, "join-sets"))
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+            sets = pa.array([s.view(np.int64) for s in shingle_sets([x.encode() for x in texts], k)], pa.list_(pa.int64()))
+            yield part.set_column(part.schema.get_field_index("text"), "shingles", sets)
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    firsts = pairs.select(F.col("a").alias("doc_id"), "b")
+    seconds = pairs.select(F.col("b").alias("doc_id")).distinct()
+    left = _named(texts, firsts).join(firsts, "doc_id").select("doc_id", "b", "text").mapInArrow(cut, "a long, b long, x array<long>")
+    right = _named(texts, seconds).join(seconds, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(cut, "b long, y array<long>")
     common = F.size(F.array_intersect("x", "y"))
-    return two.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+    return left.join(right, "b").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+
+
+def _bits(shingle: Column) -> list[Column]:
+    """One bit of 63 * WORDS for a shingle, as WORDS longs."""
+    at = F.pmod(F.xxhash64(shingle), F.lit(63 * WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at % 63)
+    return [F.when(F.floor(at / 63) == w, bit).otherwise(F.lit(0).cast("long")) for w in range(WORDS)]
+
+
+def _bits_fit(percent: int) -> Column:
+    """Bitmap filter: a bit that only one prefix sets stands for a shingle that the other lacks, which bounds the common ones."""
+    only = [sum((F.bit_count(F.col(f"{s}_b{w}").bitwiseAND(F.bitwise_not(f"{t}_b{w}"))) for w in range(WORDS)), F.lit(0)) for s, t in ("xy", "yx")]
+    return _enough(percent, F.least(F.col("x_open") - only[0], F.col("y_open") - only[1]))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -159,11 +187,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = sets.where("n > 0 and doc_id is not null")
     # distinct sets, each under its smallest doc_id; the groups of those with the same prefix and size
     units = put(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("unit"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), work_dir(spark, "join-units"))
-    prefix = known.join(units.select(F.col("unit").alias("doc_id")), "doc_id", "left_semi")
-    groups = prefix.groupBy("p1", "p2", "n").agg(F.first("prefix").alias("prefix"), F.countDistinct("s1", "s2").alias("units"))
-    post = put(groups.select("p1", "p2", "n", "units", F.posexplode("prefix").alias("pos", "shingle")), work_dir(spark, "join-postings"))
+    heads = put(units.groupBy("p1", "p2", "n").agg(F.min("unit").alias("head"), F.count("*").alias("units")), work_dir(spark, "join-heads"))
+    one = known.select(F.col("doc_id").alias("head"), "p1", "p2", "n", "prefix").join(heads, ["head", "p1", "p2", "n"])
+    post = put(one.select("head", "n", "units", F.posexplode("prefix").alias("pos", "shingle")), work_dir(spark, "join-postings"))
     shared = put(post.groupBy("shingle").agg(F.sum("units").alias("total")).where("total > 1").select("shingle"), work_dir(spark, "join-shared"))
-    lists = post.join(shared, "shingle").join(units.select("p1", "p2", "unit", F.col("n").alias("un")), ["p1", "p2"]).where("n = un").select("shingle", "pos", "n", "unit")
+    members = units.join(heads.drop("units"), ["p1", "p2", "n"]).select("head", "n", "unit")
+    lists = post.join(shared, "shingle").join(members, ["head", "n"]).select("shingle", "pos", "n", "unit")
     lists = put(lists, work_dir(spark, "join-lists"))
 
     discard(spark, *(x for t in (post, shared) for x in _folder(t)))
@@ -183,13 +212,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     placed = put(lists.join(at, "unit", "left").withColumn("component", F.coalesce("component", "unit")), work_dir(spark, "join-placed"))
     split = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     open_ = put(placed.join(put(split, work_dir(spark, "join-split")), "shingle"), work_dir(spark, "join-open"))
-    left, right = (open_.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "n", "unit", "component"))) for s in "xy")
-    pairs = left.join(right, "shingle").where("x_component < y_component").where(_sizes_fit(percent) & _places_fit(percent)).select(F.col("x_unit").alias("a"), F.col("y_unit").alias("b"), "x_n", "y_n").distinct()
+    whole = Window.partitionBy("unit")
+    marked = open_.select("*", F.count("*").over(whole).alias("open"), *(F.bit_or(x).over(whole).alias(f"b{w}") for w, x in enumerate(_bits(F.col("shingle")))))
+    marked = put(marked, work_dir(spark, "join-marked"))
+    left, right = (marked.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in marked.columns if c != "shingle")) for s in "xy")
+    fit = _sizes_fit(percent) & _places_fit(percent) & _bits_fit(percent)
+    pairs = left.join(right, "shingle").where("x_component < y_component").where(fit).select(F.col("x_unit").alias("a"), F.col("y_unit").alias("b"), "x_n", "y_n").distinct()
     seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = put(pairs.join(seen, ["a", "b"], "left_anti"), work_dir(spark, "join-rest"))
-    by_id = put(prefix.select("doc_id", "prefix"), work_dir(spark, "join-unit-prefixes"))
-    counted = rest.join(by_id.select(F.col("doc_id").alias("a"), F.col("prefix").alias("x")), "a").join(by_id.select(F.col("doc_id").alias("b"), F.col("prefix").alias("y")), "b")
-    counted = counted.withColumn("c", F.size(F.array_intersect("x", "y"))).where(_enough(percent)).select("a", "b").distinct()
+    # the exact count of common prefix shingles, before whole sets are read
+    ends = {s: rest.select(F.col(s).alias("doc_id")).distinct() for s in "ab"}
+    by = {s: _named(known.select("doc_id", "prefix"), ends[s]).select(F.col("doc_id").alias(s), F.col("prefix").alias(p)) for s, p in ("ax", "by")}
+    counted = rest.join(by["a"], "a").join(by["b"], "b").withColumn("c", F.size(F.array_intersect("x", "y"))).where(_enough(percent)).select("a", "b").distinct()
     rest = put(counted, work_dir(spark, "join-counted"))
     more = put(_verified(rest, docs, k, percent), work_dir(spark, "join-links2"))
     final = put(connected(links.unionByName(more)), work_dir(spark, "join-final"))
