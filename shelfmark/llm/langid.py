@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import learns, text_chunks
 from .lattice import forward
-from .pieces import Vocabulary, encoder_of, marked, parts, vocabulary
+from .pieces import Vocabulary, encoder_of, forget, marked, parts, vocabulary
 
 UNKNOWN = "und"
 #: Pseudo-counts of the smoothing distribution, and the share of it that is uniform.
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, model_path: str, held_out: Column | None = None, k
         v, names, p = shared.value
         if token not in _scorers:
             _scorers.clear()
+            forget()
             _scorers[token] = Scorer(v, p)
         for part, texts in text_chunks(batches, "__text"):
             texts = [x if names and has_letter(x) else "" for x in texts]

@@ -35,6 +35,8 @@ from .shingles import mix, shingle_sets
 FREQUENT = 1 << 18
 #: Shingles of a task's documents that are counted together (8 bytes each).
 COUNTED = 3_000_000
+#: Characters that are shingled at a time; each takes about 100 bytes of a worker meanwhile.
+SHINGLED = 500_000
 #: Bits of the broadcast filter of named documents (1 MB).
 NAMED_BITS = 1 << 23
 #: Longs of a prefix's bitmap, of which each holds 63 bits.
@@ -64,7 +66,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for _, texts in text_chunks(batches, "text"):
+        for _, texts in text_chunks(batches, "text", SHINGLED):
             for s in shingle_sets([x.encode() for x in texts], k):
                 held.append(s)
                 size += len(s)
@@ -87,7 +89,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, often: DataFrame) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = table.value
-        for part, texts in text_chunks(batches, "text"):
+        for part, texts in text_chunks(batches, "text", SHINGLED):
             out: list[tuple] = []
             for s in shingle_sets([x.encode() for x in texts], k):
                 n = len(s)
@@ -152,7 +154,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) that link, judged on the whole sets."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, "text"):
+        for part, texts in text_chunks(batches, "text", SHINGLED):
             sets = pa.array([s.view(np.int64) for s in shingle_sets([x.encode() for x in texts], k)], pa.list_(pa.int64()))
             yield part.set_column(part.schema.get_field_index("text"), "shingles", sets)
 

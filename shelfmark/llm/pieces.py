@@ -126,6 +126,11 @@ def encoder_of(name: str, v: Vocabulary) -> Encoder:
     return _encoders[name]
 
 
+def forget() -> None:
+    """Drops this process's encoders and their memos, for a stage that needs the memory for others."""
+    _encoders.clear()
+
+
 def decode_ids(ids: list[int], raw: list[bytes]) -> str:
     """The text of ids: bytes of the pieces, markers as spaces, without the marker that stands before every text."""
     joined = b"".join([raw[i] for i in ids]).replace(b"\xff", b" ")
