@@ -19,6 +19,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 2_000_000
 
 
+#: What operators remember in this process between tasks.
+_memos: list[dict] = []
+
+
+def remembered() -> dict:
+    """An empty memo that forget_memos() clears."""
+    _memos.append({})
+    return _memos[-1]
+
+
+def forget_memos() -> None:
+    """Drops what other operators' tasks left in this process; Spark reuses a worker for later stages."""
+    for memo in _memos:
+        memo.clear()
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for this run under spark.checkpoint.dir, which driver and executors share.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import learns, text_chunks
+from .common import learns, remembered, text_chunks
 from .lattice import forward
 from .pieces import Vocabulary, encoder_of, forget, marked, parts, vocabulary
 
@@ -117,7 +117,7 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[int, Scorer] = remembered()
 
 
 def identify(docs: DataFrame, model_path: str, held_out: Column | None = None, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

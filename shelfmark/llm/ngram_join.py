@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, put, text_chunks, work_dir
+from .common import discard, forget_memos, put, text_chunks, work_dir
 from .components import connected
 from .shingles import mix, shingle_sets
 
@@ -64,6 +64,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(values[on].view(np.int64)), pa.array(n[on])], ["shingle", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_memos()
         held: list[np.ndarray] = []
         size = 0
         for _, texts in text_chunks(batches, "text", SHINGLED):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, text_of
+from .common import remembered, text_chunks, text_of
 from .lattice import DoubleArray, as_bytes, viterbi
 
 PENALTY = 10.0
@@ -116,7 +116,7 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = remembered()
 
 
 def encoder_of(name: str, v: Vocabulary) -> Encoder:
