@@ -72,7 +72,7 @@ b AS (SELECT conv_id AS id, 2 AS src, turn AS part, coalesce(text, '') AS text F
 SELECT id, string_agg(text, ' ' ORDER BY src, part) AS text, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE id IN (SELECT p_partkey FROM part) GROUP BY 1""")
 def multi_source_text(spark, sf):
     """Three text streams by id, in source order: a tagged union and an ordered aggregate."""
-    a = table(spark, sf, "documents").where("doc_id < 1000").select(F.col("doc_id").alias("id"), F.lit(1).alias("src"), F.lit(0).cast("long").alias("part"), "text")
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("src"), F.lit(0).cast("long").alias("part"), "text")
     b = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.lit(2).alias("src"), F.col("turn").alias("part"), "text")
     c = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit(3).alias("src"), F.lit(0).cast("long").alias("part"), F.col("url").alias("text"))
     wanted = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
