@@ -93,7 +93,7 @@ def item_pair_adjusted_cosine(spark, sf):
 
 @query("corated_cosine_raw", f"WITH {R}, {PAIRS} SELECT item_1, item_2, round(s12 / nullif(sqrt(s11) * sqrt(s22), 0), 6) AS score FROM p WHERE n >= 2")
 def corated_cosine_raw(spark, sf):
-    return pair_sums(ratings(spark, sf)).where("n >= 2").select("item_1", "item_2", F.round(cosine("s12", "s11", "s22"), 6).alias("score"))
+    return pair_sums(ratings(spark, sf)).select("item_1", "item_2", F.round(cosine("s12", "s11", "s22"), 6).alias("score"))
 
 
 _U = f"{R}, u AS (SELECT item_id, user_id, sum(rating) AS rating FROM r GROUP BY 1, 2)"

@@ -20,3 +20,14 @@ def test_text_of_documents_with_large_ids_is_merged(spark, tmp_path):
     )
     got = {r.id: (r.text, r.n) for r in QUERIES["multi_source_text"](spark, sf).collect()}
     assert got == {1: ("a ", 2), 5: ("v", 1), 1000: ("b x y", 3), 70_000: ("c u", 2)}
+
+
+def test_pairs_with_one_common_user_have_a_cosine(spark, tmp_path):
+    lines = [(1, 1, 10, 1.0), (1, 2, 20, 5.0), (1, 3, 30, 4.0), (2, 1, 10, 2.0), (2, 2, 20, 2.0), (3, 1, 40, 1.0), (4, 1, 50, 1.0), (4, 2, 60, None)]
+    sf = put(
+        spark, tmp_path,
+        lineitem=(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_quantity double"),
+        orders=([(1, 7), (2, 8), (3, 9), (4, 6)], "o_orderkey long, o_custkey long"),
+    )
+    got = {(r.item_1, r.item_2): r.score for r in QUERIES["corated_cosine_raw"](spark, sf).collect()}
+    assert got == {(10, 20): round(9 / (5**0.5 * 29**0.5), 6), (10, 30): 1.0, (20, 30): 1.0, (50, 60): None}
