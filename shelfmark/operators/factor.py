@@ -123,5 +123,5 @@ def pca_project(spark, sf, least: float = 0.015):
     m[c["i"] - 1, c["j"] - 1] = m[c["j"] - 1, c["i"] - 1] = c["cov"]
     value, vector = np.linalg.eigh(m)
     keep = vector[:, value >= least].T[::-1]
-    dots = [F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x) for row in keep[:8]]
+    dots = [F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x) for row in keep]
     return table(spark, sf, "embeddings").select("vec_id", F.array(*dots).alias("projected"))

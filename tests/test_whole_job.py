@@ -1,8 +1,12 @@
 """Queries give the whole job where the SQL or the given tables are too small to notice a cut."""
 
+import numpy as np
+
 import shelfmark.operators  # noqa: F401  registers the queries
 from shelfmark.plans.registry import QUERIES
 
+SF = "/root/testdata/sf0.001"
+
 
 def put(spark, folder, **tables):
     for name, (rows, schema) in tables.items():
@@ -31,3 +35,15 @@ def test_pairs_with_one_common_user_have_a_cosine(spark, tmp_path):
     )
     got = {(r.item_1, r.item_2): r.score for r in QUERIES["corated_cosine_raw"](spark, sf).collect()}
     assert got == {(10, 20): round(9 / (5**0.5 * 29**0.5), 6), (10, 30): 1.0, (20, 30): 1.0, (50, 60): None}
+
+
+def test_vectors_are_projected_on_all_components_that_reach_the_limit(spark):
+    frame = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.array(frame["embedding"].tolist(), float)
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    kept = vector[:, value >= 0.015][:, ::-1]
+    assert kept.shape[1] > 8
+    rows = {r.vec_id: r.projected for r in QUERIES["pca_project"](spark, SF).collect()}
+    got = np.array([rows[i] for i in frame["vec_id"]])
+    assert got.shape == (len(x), kept.shape[1])
+    assert np.allclose(np.abs(got), np.abs(x @ kept), atol=1e-5)  # the sign of an eigenvector is free
