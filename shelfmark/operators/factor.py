@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.stages import materialize
 from ..sources.tables import ratings, table
-from .cf import _U, utility
+from .cf import _U, normalized, utility
 
 _INIT = "sqrt((SELECT avg(rating) FROM u) / {d})"
 
@@ -70,9 +70,11 @@ _SWEEP = f"""{_U}, c AS (SELECT sqrt(avg(rating)) AS c FROM u),
 a AS (SELECT item_id, sum(rating * c) / sum(c * c) AS f FROM u, c GROUP BY 1), b AS (SELECT user_id, sum(rating * f) / sum(f * f) AS f FROM u JOIN a USING (item_id) GROUP BY 1)"""
 
 
-def one_sweep(u: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows, columns = views(u)
+def one_sweep(u: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """cells: other values of u's cells to fit. An item's factor that is 0 but for the last bits of a sum is 0, so that no user's factor is divided by it."""
+    rows, columns = views(u if cells is None else cells)
     a = update(rows, start(u, 1, "item_id"), start(u, 1, "user_id"), 0)
+    a = a.select("id", F.transform("f", lambda v: F.when(F.abs(v) < 1e-9, 0.0).otherwise(v)).alias("f"))
     return a, update(columns, start(u, 1, "user_id"), a, 0)
 
 
@@ -83,13 +85,21 @@ def uv_one_sweep(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def centred(u: DataFrame) -> DataFrame:
+    """Ratings less the item's mean, then less the user's mean of what is left; with item_mean and user_mean."""
+    mean = F.avg("rating").over(Window.partitionBy("user_id"))
+    return normalized(u).select("item_id", "user_id", (F.col("rating") - mean).alias("rating"), "item_mean", mean.alias("user_mean"))
+
+
 @query("uv_reconstruct", f"WITH {_SWEEP} SELECT item_id, user_id, round(least(9, greatest(0, a.f * b.f + avg(u.rating) OVER (PARTITION BY item_id) - avg(u.rating) OVER (PARTITION BY item_id))), 4) AS pred FROM u JOIN a USING (item_id) JOIN b USING (user_id)")
 def uv_reconstruct(spark, sf):
-    """Products of the factors at rated cells, clipped to 0..9."""
+    """Products of the factors of centred ratings at rated cells, with both means added back, clipped to 0..9."""
     u = utility(ratings(spark, sf))
-    a, b = one_sweep(u)
-    x = u.join(a.select(F.col("id").alias("item_id"), F.element_at("f", 1).alias("x")), "item_id").join(b.select(F.col("id").alias("user_id"), F.element_at("f", 1).alias("y")), "user_id")
-    return x.select("item_id", "user_id", F.round(F.least(F.lit(9.0), F.greatest(F.lit(0.0), F.col("x") * F.col("y"))), 4).alias("pred"))
+    c = centred(u)
+    a, b = one_sweep(u, c)
+    x = c.join(a.select(F.col("id").alias("item_id"), F.element_at("f", 1).alias("x")), "item_id").join(b.select(F.col("id").alias("user_id"), F.element_at("f", 1).alias("y")), "user_id")
+    pred = F.col("x") * F.col("y") + F.col("user_mean") + F.col("item_mean")
+    return x.select("item_id", "user_id", F.round(F.least(F.lit(9.0), F.greatest(F.lit(0.0), pred)), 4).alias("pred"))
 
 
 @query("uv_fit")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-import shelfmark.operators  # noqa: F401  registers the queries
+from shelfmark.operators import factor
 from shelfmark.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,43 @@ def test_vectors_are_projected_on_all_components_that_reach_the_limit(spark):
     got = np.array([rows[i] for i in frame["vec_id"]])
     assert got.shape == (len(x), kept.shape[1])
     assert np.allclose(np.abs(got), np.abs(x @ kept), atol=1e-5)  # the sign of an eigenvector is free
+
+
+def reconstructed(cells):
+    """Every rated cell by plain numpy: centre by item, then by user, one sweep, both means back, clip."""
+    items, users = sorted({i for i, _ in cells}), sorted({u for _, u in cells})
+    x = np.full((len(items), len(users)), np.nan)
+    for (i, u), r in cells.items():
+        x[items.index(i), users.index(u)] = r
+    by_item = np.nanmean(x, 1, keepdims=True)
+    by_user = np.nanmean(x - by_item, 0, keepdims=True)
+    d, c = x - by_item - by_user, np.sqrt(np.nanmean(x))
+    a = np.nanmean(d, 1, keepdims=True) / c
+    a[np.abs(a) < 1e-9] = 0
+    squares = np.nansum(np.where(np.isnan(d), np.nan, a * a), 0, keepdims=True)
+    b = np.divide(np.nansum(d * a, 0, keepdims=True), squares, out=np.zeros_like(squares), where=squares > 0)
+    pred = np.clip(a * b + by_item + by_user, 0, 9)
+    return {(i, u): pred[items.index(i), users.index(u)] for i, u in cells}
+
+
+def same(got, want):
+    return got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_reconstruction_adds_both_means(spark):
+    u = factor.utility(factor.ratings(spark, SF)).collect()
+    got = {(r.item_id, r.user_id): r.pred for r in QUERIES["uv_reconstruct"](spark, SF).collect()}
+    assert same(got, reconstructed({(r.item_id, r.user_id): float(r.rating) for r in u}))
+
+
+def test_reconstruction_of_a_full_block_is_the_means(spark, tmp_path):
+    rating = {(i, u): float((i * i + 2 * u + i * u) % 5 + 1) for i in range(3) for u in range(3)}
+    sf = put(
+        spark, tmp_path,
+        lineitem=([(u, i, i, r) for (i, u), r in rating.items()], "l_orderkey long, l_linenumber long, l_partkey long, l_quantity double"),
+        orders=([(u, u) for u in range(3)], "o_orderkey long, o_custkey long"),
+    )
+    x = np.array([[rating[i, u] for u in range(3)] for i in range(3)])
+    want = {(i, u): x[i].mean() + x[:, u].mean() - x.mean() for i, u in rating}
+    got = {(r.item_id, r.user_id): r.pred for r in QUERIES["uv_reconstruct"](spark, sf).collect()}
+    assert same(got, want)
