@@ -36,8 +36,8 @@ def url_parts(spark, sf):
 
 @query("paged_urls", "SELECT p_partkey, page, 'https://books.example/item/' || p_partkey || '?page=' || page AS url FROM part, (SELECT unnest(range(1, 6)) AS page) WHERE p_size = 1")
 def paged_urls(spark, sf):
-    few = table(spark, sf, "part").where("p_size = 1").select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("page"))
-    return few.withColumn("url", F.concat(F.lit("https://books.example/item/"), F.col("p_partkey").cast("string"), F.lit("?page="), F.col("page").cast("string")))
+    pages = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("page"))
+    return pages.withColumn("url", F.concat(F.lit("https://books.example/item/"), F.col("p_partkey").cast("string"), F.lit("?page="), F.col("page").cast("string")))
 
 
 @query("scraped_union", "SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages)")

@@ -87,3 +87,9 @@ def test_reconstruction_of_a_full_block_is_the_means(spark, tmp_path):
     want = {(i, u): x[i].mean() + x[:, u].mean() - x.mean() for i, u in rating}
     got = {(r.item_id, r.user_id): r.pred for r in QUERIES["uv_reconstruct"](spark, sf).collect()}
     assert same(got, want)
+
+
+def test_every_part_has_five_urls(spark, tmp_path):
+    sf = put(spark, tmp_path, part=([(3, 1), (4, 2), (5, None)], "p_partkey long, p_size int"))
+    got = {(r.p_partkey, r.page): r.url for r in QUERIES["paged_urls"](spark, sf).collect()}
+    assert got == {(k, n): f"https://books.example/item/{k}?page={n}" for k in (3, 4, 5) for n in range(1, 6)}
