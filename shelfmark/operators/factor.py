@@ -41,21 +41,29 @@ def rmse(rows: DataFrame, u: DataFrame, v: DataFrame) -> float:
     return float(x.agg(F.sqrt(F.avg(F.pow(F.col("rating") - dot, F.lit(2))))).first()[0] or 0.0)
 
 
-def fit(u: DataFrame, d: int = 2, sweeps: int = 4, least_gain: float = 0.005) -> tuple[DataFrame, DataFrame, float]:
-    """Full sweeps until the error falls by less than least_gain; factors are stage tables after each sweep."""
+#: Far beyond what the rule takes; every sweep of the loop gains least_gain at least.
+MOST_SWEEPS = 1000
+
+
+def fit(u: DataFrame, d: int = 2, sweeps: int | None = None, least_gain: float = 0.005) -> tuple[DataFrame, DataFrame, float]:
+    """Full sweeps until the error falls by less than least_gain, or as many as given; factors are stage tables after each sweep."""
     rows, columns = views(materialize(u, "uv-cells"))
     a, b = start(u, d, "item_id"), start(u, d, "user_id")
     a, b = materialize(a, "uv-rows"), materialize(b, "uv-columns")
     error = rmse(rows, a, b)
-    for _ in range(sweeps):
+    for _ in range(MOST_SWEEPS if sweeps is None else sweeps):
         for s in range(d):
             a = materialize(update(rows, a, b, s), "uv-rows")
         for s in range(d):
             b = materialize(update(columns, b, a, s), "uv-columns")
         new = rmse(rows, a, b)
+        if not np.isfinite(new):
+            raise ValueError(f"the error of the factors is {new}")
         if error - new < least_gain:
             return a, b, new
         error = new
+    if sweeps is None:
+        raise RuntimeError(f"no end after {MOST_SWEEPS} sweeps: the error is {error}")
     return a, b, error
 
 

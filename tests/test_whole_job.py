@@ -1,6 +1,7 @@
 """Queries give the whole job where the SQL or the given tables are too small to notice a cut."""
 
 import numpy as np
+import pytest
 
 from shelfmark.operators import factor
 from shelfmark.plans.registry import QUERIES
@@ -93,3 +94,40 @@ def test_every_part_has_five_urls(spark, tmp_path):
     sf = put(spark, tmp_path, part=([(3, 1), (4, 2), (5, None)], "p_partkey long, p_size int"))
     got = {(r.p_partkey, r.page): r.url for r in QUERIES["paged_urls"](spark, sf).collect()}
     assert got == {(k, n): f"https://books.example/item/{k}?page={n}" for k in (3, 4, 5) for n in range(1, 6)}
+
+
+def errors_of_sweeps(cells, d=2, least_gain=0.005):
+    """The error at the start and after each sweep, by plain numpy, until the gain is small."""
+    items, users = sorted({i for i, _ in cells}), sorted({u for _, u in cells})
+    m = np.full((len(items), len(users)), np.nan)
+    for (i, u), r in cells.items():
+        m[items.index(i), users.index(u)] = r
+    f = np.sqrt(np.nanmean(m) / d)
+    a, b, known = np.full((len(items), d), f), np.full((len(users), d), f), ~np.isnan(m)
+
+    def sweep(m, known, a, b):
+        for s in range(d):
+            rest = np.where(known, m - a @ b.T + np.outer(a[:, s], b[:, s]), 0)
+            a[:, s] = rest @ b[:, s] / (known @ b[:, s] ** 2)
+
+    errors = [np.sqrt(np.nanmean((m - a @ b.T) ** 2))]
+    while len(errors) < 2 or errors[-2] - errors[-1] >= least_gain:
+        sweep(m, known, a, b)
+        sweep(m.T, known.T, b, a)
+        errors.append(np.sqrt(np.nanmean((m - a @ b.T) ** 2)))
+    return errors
+
+
+def test_fit_ends_by_its_rule(spark):
+    rng = np.random.default_rng(9)
+    cells = {(i, u): float(rng.integers(1, 6)) for i in range(12) for u in range(12) if rng.random() < 0.6}
+    want = errors_of_sweeps(cells)
+    assert len(want) - 1 > 4
+    _, _, error = factor.fit(spark.createDataFrame([(i, u, r) for (i, u), r in cells.items()], "item_id long, user_id long, rating double"))
+    assert abs(error - want[-1]) < 1e-6
+
+
+def test_fit_without_an_error_to_compare_is_refused(spark):
+    cells = [(1, 1, float("nan")), (1, 2, 2.0)]
+    with pytest.raises(ValueError, match="nan"):
+        factor.fit(spark.createDataFrame(cells, "item_id long, user_id long, rating double"))
