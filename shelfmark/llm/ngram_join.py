@@ -2,9 +2,10 @@
 
 Two documents link when the Jaccard similarity of their shingle sets is at least percent / 100. Every set is put in
 one global order (frequent shingles last); linked sets must share a shingle within their prefixes, of
-n - ceil(n * percent / 100) + 1 shingles. Documents with the same prefix and size form one group, and only groups
-are filtered by shared prefix shingles; what passes is expanded to distinct sets (documents with the same set are
-one from the start), filtered by size and position, and verified on the whole sets.
+n - ceil(n * percent / 100) + 1 shingles. Documents with the same set are one from the start. Distinct sets with the
+same prefix and size form one group, whose prefix is kept once and by which the shared prefix shingles are found; the
+lists of those are then expanded to the groups' sets, and pairs of sets, not of groups, are filtered by size, place,
+bitmap and count and verified on the whole sets.
 
 Frequent shingles: each task reports those in a thousandth of the documents that it counts together; the table that is broadcast keeps at
 most FREQUENT of them, by count. It only sets the order, so the result doesn't depend on it.
