@@ -3,8 +3,8 @@
 A byte goes if a string of `length` bytes (400) that covers it also starts anywhere else, in the same document or
 another; matches never cross documents, and strings are judged on the input. The work is exact and distributed:
 
-1. Every string of `length` bytes has one anchor: the smallest of its GRAM-byte grams in a fixed pseudo-random order
-   (ties: the last). Equal strings have equal anchors at the same place, so all copies of a string meet under the
+1. Every string of `length` bytes has one anchor: the smallest of its grams (gram_of(length) bytes, 128 for 400) in a
+   fixed pseudo-random order (ties: the last). Equal strings have equal anchors at the same place, so all copies of a string meet under the
    hash of their anchor gram. Consecutive strings with one anchor form a segment.
 2. Segments under a gram that occurs once hold no repeat. Equal segments that occur more than once are repeats as a
    whole; they are counted by digest, never gathered.
@@ -14,6 +14,9 @@ another; matches never cross documents, and strings are judged on the input. The
 4. A gram with more than MOST_ROWS different segments (a short passage with different surroundings in very many
    documents) goes to no single task: the digests of its strings are counted instead.
 
+With least_words, a removed run must hold that many words or it stays: a filter on what the runs are, for corpora
+whose short common phrases are to be kept.
+
 Cases: null and empty texts have no strings; texts shorter than length lose nothing; repeated rows are copies of
 each other and lose what any copy loses; rows with a null doc_id take part; an empty table gives an empty result;
 columns of the input are kept as told by the caller.
@@ -34,16 +37,21 @@ from .common import discard, put, text_chunks, text_of, whole_groups, work_dir
 from .shingles import _VALUE, _power, mix
 from .suffix_array import common_prefixes, concatenated, suffix_array
 
-LENGTH, GRAM, BLOCK, MOST_ROWS = 400, 128, 16, 8192
+LENGTH, BLOCK, MOST_ROWS = 400, 16, 8192
 #: Bytes of text, of one or more documents, that the anchor scan takes at a time; fits the 24 bits of a place.
 SCAN = 2_000_000
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gram_of(length: int) -> int:
+    """Bytes of the grams among which the strings of length bytes have their anchor: long enough to be rare, short enough for few segments."""
+    return length * 8 // 25
+
+
+def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of texts that stand one after another in raw: gram hash, anchor, first and last start of a string with that anchor."""
-    n = len(raw)
+    n, gram = len(raw), gram_of(length)
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty.astype(np.uint64), empty, empty, empty
@@ -229,8 +237,13 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH) -> DataFrame:
-    """Columns keep of docs, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes as text, without characters that a cut went through)."""
+def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, least_words: int = 0) -> DataFrame:
+    """Columns keep of docs, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes as text, without characters that a cut went through).
+
+    least_words: maximal runs of fewer words than that stay.
+    """
+    if length % BLOCK or gram_of(length) < 2 * BLOCK:
+        raise ValueError(f"length must be a multiple of {BLOCK} and 112 at least")
     spans = repeated_spans(docs, length)
     fields = [*docs.select(*keep).schema.fields]
     rows = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("digest"), text_of().alias("text"))
@@ -242,6 +255,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH) -> Da
             for x, s in zip(texts, part.column("spans").to_pylist(), strict=True):
                 b = x.encode()
                 gone = merged([(r["a"], r["b"]) for r in s], length) if s else []
+                gone = [(p, q) for p, q in gone if len(b[p:q].split()) >= least_words]
                 left = b"".join(b[p:q] for p, q in zip([0, *(e for _, e in gone)], [*(a for a, _ in gone), len(b)], strict=True)) if gone else b
                 size.append(len(b))
                 removed.append(len(b) - len(left))

@@ -252,6 +252,29 @@ def test_repeats_against_all_strings(spark, most, monkeypatch):
     assert suffix_dedup.remove_repeats(df.limit(0), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("length", [112, 192, 256])
+def test_passages_of_other_lengths_against_all_strings(spark, length):
+    rng = random.Random(length)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+    shared = [prose(k) for k in (25, 40, 51, 60, 120)]
+    texts = [prose(rng.randint(0, 60)) + " " + shared[i % 5] + " " + prose(rng.randint(0, 60)) for i in range(40)]
+    raw = [t.encode() for t in texts]
+    seen = {}
+    for b in raw:
+        for p in range(len(b) - length + 1):
+            seen[b[p : p + length]] = seen.get(b[p : p + length], 0) + 1
+    for r in suffix_dedup.remove_repeats(docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), ["doc_id"], length, 45).collect():
+        b = raw[r.doc_id]
+        gone = suffix_dedup.merged([(p, p) for p in range(len(b) - length + 1) if seen[b[p : p + length]] > 1], length)
+        gone = [(x, y) for x, y in gone if len(b[x:y].split()) >= 45]
+        assert (r.n_removed, r.n_spans) == (sum(y - x for x, y in gone), len(gone))
+        assert r.n_spans == (r.doc_id % 5 >= 2)
+        assert all(w in r.kept for w in (b[: gone[0][0]].decode(), b[gone[0][1] :].decode())) if gone else r.kept == texts[r.doc_id]
+
+
 def test_toxicity(spark, real, odd, empty):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
