@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,8 +59,17 @@ def put(df: DataFrame, path: str) -> DataFrame:
     return out
 
 
+#: Seconds between two collections of garbage; small jobs need none of their own.
+RELEASE_S = 5.0
+_released = 0.0
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of ended jobs' shuffle files: Spark deletes them once the driver's objects for them are collected."""
+    global _released
+    if time.monotonic() - _released < RELEASE_S:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

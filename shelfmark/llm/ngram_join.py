@@ -3,20 +3,23 @@
 Two documents link when the Jaccard similarity of their shingle sets is at least percent / 100. Every set is put in
 one global order (frequent shingles last); linked sets must share a shingle within their prefixes, of
 n - ceil(n * percent / 100) + 1 shingles. Documents with the same set are one from the start. Distinct sets with the
-same prefix and size form one group, whose prefix is kept once and by which the shared prefix shingles are found; the
-lists of those are then expanded to the groups' sets, and pairs of sets, not of groups, are filtered by size, place,
-bitmap and count and verified on the whole sets.
+same prefix and size form one group. Only groups stand in the lists of prefix shingles and only pairs of groups are
+filtered, by size, place, bitmap and count; the pairs that pass are expanded to their members, which are verified on
+the whole sets.
 
 Frequent shingles: each task reports those in a thousandth of the documents that it counts together; the table that is broadcast keeps at
 most FREQUENT of them, by count. It only sets the order, so the result doesn't depend on it.
 
-Pairs are verified in two rounds. First each set is compared with one set only: of the sets of its size band, the
-one that shares most of its own prefix with others, in as many lists as possible; that unites large groups of copies without listing their pairs. Then all
-candidate pairs that still lie in different components are verified. No link between components is lost.
+Pairs are verified in two rounds. First each set is compared with one of its group, and each group with one other:
+of the groups of its size band, the one that shares most of its own prefix with others, in as many lists as possible;
+that unites large groups of copies without listing their pairs. Then the pairs of groups whose members lie in
+different components are filtered and expanded to the members of different components. No link between components is
+lost. A list of more than LIST_BLOCK groups is joined block by block, and a set that many others are compared with is
+dealt out to several tasks, so that no task gets a hot list or a hot document whole.
 
 Cases: a document without words (or null text) has an empty set and links with nothing; one with fewer than k words
-has its whole sequence as one shingle; rows with a null doc_id get a null component; a doc_id that comes twice is
-one node; an empty table gives an empty result; other columns are ignored.
+has its whole sequence as one shingle; a very long text is one row of its task like any other; rows with a null doc_id
+get a null component; a doc_id that comes twice is one node that has the links of both texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ COUNTED = 3_000_000
 SHINGLED = 500_000
 #: Bits of the broadcast filter of named documents (1 MB).
 NAMED_BITS = 1 << 23
+#: Groups of a list that one task joins with as many others, and pairs for which one task holds a document's set.
+LIST_BLOCK, PAIRS_BLOCK = 128, 128
 #: Longs of a prefix's bitmap, of which each holds 63 bits.
 WORDS = 4
 
@@ -160,13 +165,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             sets = pa.array([s.view(np.int64) for s in shingle_sets([x.encode() for x in texts], k)], pa.list_(pa.int64()))
             yield part.set_column(part.schema.get_field_index("text"), "shingles", sets)
 
+    # each document is shingled once; one that many pairs name as b goes to several tasks
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    firsts = pairs.select(F.col("a").alias("doc_id"), "b")
-    seconds = pairs.select(F.col("b").alias("doc_id")).distinct()
-    left = _named(texts, firsts).join(firsts, "doc_id").select("doc_id", "b", "text").mapInArrow(cut, "a long, b long, x array<long>")
-    right = _named(texts, seconds).join(seconds, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(cut, "b long, y array<long>")
+    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_BLOCK).cast("int").alias("fan"))
+    firsts = pairs.join(fan, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("fan")).cast("int").alias("salt"))
+    left = _named(texts, firsts).mapInArrow(cut, "doc_id long, shingles array<long>").join(firsts, "doc_id").select(F.col("doc_id").alias("a"), "b", "salt", F.col("shingles").alias("x"))
+    seconds = fan.withColumnRenamed("b", "doc_id")
+    right = _named(texts, seconds).mapInArrow(cut, "doc_id long, shingles array<long>").join(seconds, "doc_id")
+    right = right.select(F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return left.join(right, "b").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+    return left.join(right, ["b", "salt"]).where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
 def _bits(shingle: Column) -> list[Column]:
@@ -182,6 +190,17 @@ def _bits_fit(percent: int) -> Column:
     return _enough(percent, F.least(F.col("x_open") - only[0], F.col("y_open") - only[1]))
 
 
+def _joined(lists: DataFrame) -> DataFrame:
+    """Pairs of entries of one list, columns x_... and y_..., each pair once; lists of more than LIST_BLOCK entries block by block."""
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("shingle")) / LIST_BLOCK).cast("int")
+    dealt = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    sides = {}
+    for s, first, last, own, other in (("x", F.col("block"), F.col("blocks") - 1, "bx", "by"), ("y", F.lit(0), F.col("block"), "by", "bx")):
+        rows = dealt.withColumn(other, F.explode(F.sequence(first, last)))
+        sides[s] = rows.select("shingle", F.col("block").alias(own), other, *(F.col(c).alias(f"{s}_{c}") for c in lists.columns if c != "shingle"))
+    return sides["x"].join(sides["y"], ["shingle", "bx", "by"]).where("bx < by or x_g < y_g")
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
@@ -189,46 +208,55 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = put(_prefixes(docs, k, percent, often), work_dir(spark, "join-prefixes"))
 
     known = sets.where("n > 0 and doc_id is not null")
-    # distinct sets, each under its smallest doc_id; the groups of those with the same prefix and size
-    units = put(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("unit"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), work_dir(spark, "join-units"))
-    heads = put(units.groupBy("p1", "p2", "n").agg(F.min("unit").alias("head"), F.count("*").alias("units")), work_dir(spark, "join-heads"))
-    one = known.select(F.col("doc_id").alias("head"), "p1", "p2", "n", "prefix").join(heads, ["head", "p1", "p2", "n"])
-    post = put(one.select("head", "n", "units", F.posexplode("prefix").alias("pos", "shingle")), work_dir(spark, "join-postings"))
-    shared = put(post.groupBy("shingle").agg(F.sum("units").alias("total")).where("total > 1").select("shingle"), work_dir(spark, "join-shared"))
-    members = units.join(heads.drop("units"), ["p1", "p2", "n"]).select("head", "n", "unit")
-    lists = post.join(shared, "shingle").join(members, ["head", "n"]).select("shingle", "pos", "n", "unit")
-    lists = put(lists, work_dir(spark, "join-lists"))
-
+    # distinct sets, each under its smallest doc_id; g: the group of those with the same prefix and size
+    group = F.xxhash64("p1", "p2", "n").alias("g")
+    units = put(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("unit"), F.first(group).alias("g")), work_dir(spark, "join-units"))
+    # a doc_id with several sets is one node
+    several = known.groupBy("doc_id").agg(F.min(F.xxhash64("s1", "s2")).alias("low"), F.max(F.xxhash64("s1", "s2")).alias("high")).where("low <> high").select("doc_id")
+    same = known.join(several, "doc_id").join(units, ["s1", "s2", "n"]).select(F.col("doc_id").alias("a"), F.col("unit").alias("b"))
+    heads = put(units.groupBy("g").agg(F.min("unit").alias("head"), F.first("n").alias("n"), F.count("*").alias("units")), work_dir(spark, "join-heads"))
+    prefixes = known.select(F.col("doc_id").alias("head"), group, "prefix").join(heads, ["g", "head"]).dropDuplicates(["g"])
+    prefixes = put(prefixes, work_dir(spark, "join-heads-prefixes"))
+    post = put(prefixes.select("g", "head", "n", F.posexplode("prefix").alias("pos", "shingle")), work_dir(spark, "join-postings"))
+    shared = put(post.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle"), work_dir(spark, "join-shared"))
+    lists = put(post.join(shared, "shingle"), work_dir(spark, "join-lists"))
     discard(spark, *(x for t in (post, shared) for x in _folder(t)))
 
     band = F.floor(F.log("n") / float(-np.log(percent / 100))).alias("band")
-    # the set of a band that shares the most of its prefix is the one that its copies were made from, or near it
-    known_part = lists.groupBy("unit").agg((F.count("*") / F.max("n")).alias("part"))
-    banded = put(lists.select("*", band).join(known_part, "unit"), work_dir(spark, "join-banded"))
-    lead = put(banded.groupBy("shingle", "band").agg(F.max(F.struct("part", (-F.col("unit")).alias("unit"), "n")).alias("lead")), work_dir(spark, "join-leads"))
-    star = banded.join(lead, ["shingle", "band"]).select("unit", F.col("n").alias("x_n"), (-F.col("lead.unit")).alias("b"), F.col("lead.n").alias("y_n")).where("unit <> b")
-    some = star.groupBy("unit", "b", "x_n", "y_n").agg(F.count("*").alias("c")).where(_enough(percent))
-    best = some.groupBy("unit").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
-    first = put(best.select(F.col("unit").alias("a"), (-F.col("best.b")).alias("b")), work_dir(spark, "join-first"))
-    links = put(_verified(first, docs, k, percent), work_dir(spark, "join-links1"))
+    # the group of a band that shares the most of its prefix is the one that its copies were made from, or near it
+    known_part = lists.groupBy("g").agg((F.count("*") / F.max("n")).alias("part"))
+    banded = put(lists.select("*", band).join(known_part, "g"), work_dir(spark, "join-banded"))
+    lead = put(banded.groupBy("shingle", "band").agg(F.max(F.struct("part", (-F.col("head")).alias("head"), "n", F.col("g").alias("b"))).alias("lead")), work_dir(spark, "join-leads"))
+    star = banded.join(lead, ["shingle", "band"]).where("g <> lead.b").select("g", "head", F.col("n").alias("x_n"), (-F.col("lead.head")).alias("b"), F.col("lead.n").alias("y_n"))
+    some = star.groupBy("g", "head", "b", "x_n", "y_n").agg(F.count("*").alias("c")).where(_enough(percent))
+    best = some.groupBy("g", "head").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
+    within = units.join(heads.where("units > 1").select("g", "head"), "g").select(F.col("unit").alias("a"), F.col("head").alias("b"))
+    first = best.select(F.col("head").alias("a"), (-F.col("best.b")).alias("b")).unionByName(within).where("a <> b").distinct()
+    first = put(first, work_dir(spark, "join-first"))
+    discard(spark, *(x for t in (banded, lead) for x in _folder(t)))
+    links = put(_verified(first, docs, k, percent).unionByName(same), work_dir(spark, "join-links1"))
 
     at = connected(links).withColumnRenamed("id", "unit")
-    placed = put(lists.join(at, "unit", "left").withColumn("component", F.coalesce("component", "unit")), work_dir(spark, "join-placed"))
-    split = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    members = put(units.select("g", "unit").join(at, "unit", "left").withColumn("component", F.coalesce("component", "unit")), work_dir(spark, "join-members"))
+    spread = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = put(lists.join(spread, "g"), work_dir(spark, "join-placed"))
+    split = placed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("shingle")
     open_ = put(placed.join(put(split, work_dir(spark, "join-split")), "shingle"), work_dir(spark, "join-open"))
-    whole = Window.partitionBy("unit")
-    marked = open_.select("*", F.count("*").over(whole).alias("open"), *(F.bit_or(x).over(whole).alias(f"b{w}") for w, x in enumerate(_bits(F.col("shingle")))))
+    discard(spark, *(x for t in (lists, placed) for x in _folder(t)))
+    whole = Window.partitionBy("g")
+    marked = open_.select("shingle", "g", "pos", "n", "low", "high", F.count("*").over(whole).alias("open"), *(F.bit_or(x).over(whole).alias(f"b{w}") for w, x in enumerate(_bits(F.col("shingle")))))
     marked = put(marked, work_dir(spark, "join-marked"))
-    left, right = (marked.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in marked.columns if c != "shingle")) for s in "xy")
     fit = _sizes_fit(percent) & _places_fit(percent) & _bits_fit(percent)
-    pairs = left.join(right, "shingle").where("x_component < y_component").where(fit).select(F.col("x_unit").alias("a"), F.col("y_unit").alias("b"), "x_n", "y_n").distinct()
-    seen = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = put(pairs.join(seen, ["a", "b"], "left_anti"), work_dir(spark, "join-rest"))
-    # the exact count of common prefix shingles, before whole sets are read
-    ends = {s: rest.select(F.col(s).alias("doc_id")).distinct() for s in "ab"}
-    by = {s: _named(known.select("doc_id", "prefix"), ends[s]).select(F.col("doc_id").alias(s), F.col("prefix").alias(p)) for s, p in ("ax", "by")}
-    counted = rest.join(by["a"], "a").join(by["b"], "b").withColumn("c", F.size(F.array_intersect("x", "y"))).where(_enough(percent)).select("a", "b").distinct()
-    rest = put(counted, work_dir(spark, "join-counted"))
+    pairs = _joined(marked).where("least(x_low, y_low) < greatest(x_high, y_high)").where(fit)
+    pairs = put(pairs.select("x_g", "y_g", "x_n", "y_n").distinct(), work_dir(spark, "join-pairs"))
+    # the exact count of common prefix shingles; what passes is expanded to members, in different components
+    by = {s: prefixes.select(F.col("g").alias(f"{s}_g"), F.col("prefix").alias(s)) for s in "xy"}
+    counted = pairs.join(by["x"], "x_g").join(by["y"], "y_g").withColumn("c", F.size(F.array_intersect("x", "y"))).where(_enough(percent)).select("x_g", "y_g")
+    inside = spread.where("low < high").select(F.col("g").alias("x_g"), F.col("g").alias("y_g"))
+    side = {s: members.select(F.col("g").alias(f"{s}_g"), F.col("unit").alias(s), F.col("component").alias(f"{s}_c")) for s in "xy"}
+    expanded = counted.unionByName(inside).join(side["x"], "x_g").join(side["y"], "y_g").where("x_c <> y_c").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = put(expanded.join(seen, ["a", "b"], "left_anti"), work_dir(spark, "join-rest"))
     more = put(_verified(rest, docs, k, percent), work_dir(spark, "join-links2"))
     final = put(connected(links.unionByName(more)), work_dir(spark, "join-final"))
 
