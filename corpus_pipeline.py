@@ -19,6 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MODEL = "piece_bpe_32k.model"
 #: A document whose likeliest language has a lower posterior than this belongs to none.
 LEAST_SCORE = 0.5
+#: A passage goes if it repeats, holds over 50 words, and so has about this many bytes at least, in words of three letters.
+PASSAGE_BYTES, PASSAGE_WORDS = 192, 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every 400-byte string that also stands elsewhere out of the texts."""
-    cut = suffix_dedup.remove_repeats(docs, ["doc_id", "lang", "source"])
+    """Cuts passages that also stand elsewhere out of the texts: runs of repeated 192-byte strings, of over 50 words."""
+    cut = suffix_dedup.remove_repeats(docs, ["doc_id", "lang", "source"], PASSAGE_BYTES, PASSAGE_WORDS)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
