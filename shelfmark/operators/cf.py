@@ -1,8 +1,9 @@
 """Collaborative filtering: item similarities, neighbours, predictions for every k, and their evaluation.
 
 Similarities of all metrics come from one self-join of ratings by user and one aggregate per item pair (each pair
-once, item_1 < item_2). Neighbours are ranked once to depth 30; running sums over the rank give the prediction for
-every k in the same pass.
+once, item_1 < item_2). A user of many ratings is joined block by block, so that the square of its ratings is dealt out
+to many tasks. Neighbours are ranked once to depth 30; running sums over the rank give the prediction for every k, raw
+and normalised, in the same pass.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.stages import materialize
 from ..sources.tables import ratings
 from .prep import SPLIT, R, split
 
@@ -18,16 +20,31 @@ DEPTH = 30
 METRICS = ("euc", "cos", "adj")
 
 
+#: Ratings of a user that one task joins with as many others.
+USER_BLOCK = 256
+
+
+def corated(r: DataFrame, block: int = USER_BLOCK) -> DataFrame:
+    """Pairs item_1 < item_2 of a user with r1, r2 (and the user's mean, where r has one)."""
+    blocks = r.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    kept = [F.col(c) for c in ("mean",) if c in r.columns]
+    dealt = r.join(blocks, "user_id").select("user_id", "item_id", "rating", *kept, "blocks", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("block"))
+    # every two blocks meet once, whichever holds the smaller item
+    one = dealt.select("user_id", F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"), F.col("item_id").alias("i"), F.col("rating").alias("p"), *kept)
+    two = dealt.select("user_id", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"), F.col("block").alias("y"), F.col("item_id").alias("j"), F.col("rating").alias("q"))
+    pairs = one.join(two, ["user_id", "x", "y"]).where("i < j or (x < y and i > j)")
+    first = F.col("i") < F.col("j")
+    return pairs.select("user_id", F.least("i", "j").alias("item_1"), F.greatest("i", "j").alias("item_2"), F.when(first, F.col("p")).otherwise(F.col("q")).alias("r1"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("r2"), *kept)
+
+
 def pair_sums(r: DataFrame) -> DataFrame:
     """item_1 < item_2 with n, s12, s11, s22, d2 (squared distance) over users of both; extra column mean: centred sums too."""
-    a = r.select("user_id", F.col("item_id").alias("item_1"), F.col("rating").alias("r1"), *([F.col("mean")] if "mean" in r.columns else []))
-    b = r.select("user_id", F.col("item_id").alias("item_2"), F.col("rating").alias("r2"))
     x, y = F.col("r1"), F.col("r2")
     sums = [F.count("*").alias("n"), F.sum(x * y).alias("s12"), F.sum(x * x).alias("s11"), F.sum(y * y).alias("s22"), F.sum((x - y) * (x - y)).alias("d2")]
     if "mean" in r.columns:
         u, v = x - F.col("mean"), y - F.col("mean")
         sums += [F.sum(u * v).alias("c12"), F.sum(u * u).alias("c11"), F.sum(v * v).alias("c22")]
-    return a.join(b, "user_id").where("item_1 < item_2").groupBy("item_1", "item_2").agg(*sums)
+    return corated(r).groupBy("item_1", "item_2").agg(*sums)
 
 
 def cosine(s12: str, s11: str, s22: str) -> Column:
@@ -91,7 +108,7 @@ def item_pair_adjusted_cosine(spark, sf):
     return p.select("item_1", "item_2", F.round(cosine("c12", "c11", "c22"), 6).alias("score"), "n")
 
 
-@query("corated_cosine_raw", f"WITH {R}, {PAIRS} SELECT item_1, item_2, round(s12 / nullif(sqrt(s11) * sqrt(s22), 0), 6) AS score FROM p WHERE n >= 2")
+@query("corated_cosine_raw", f"WITH {R}, {PAIRS} SELECT item_1, item_2, round(s12 / nullif(sqrt(s11) * sqrt(s22), 0), 6) AS score FROM p")
 def corated_cosine_raw(spark, sf):
     return pair_sums(ratings(spark, sf)).select("item_1", "item_2", F.round(cosine("s12", "s11", "s22"), 6).alias("score"))
 
@@ -140,6 +157,22 @@ def cold_items(spark, sf):
     return s.where("part = 'dev'").select("item_id").distinct().join(s.where("part = 'train'").select("item_id").distinct(), "item_id", "left_anti")
 
 
+_KNN = f"""{SPLIT},
+tr AS (SELECT item_id, user_id, sum(rating) AS rating FROM split WHERE part = 'train' GROUP BY 1, 2),
+tm AS (SELECT *, avg(rating) OVER (PARTITION BY user_id) AS mean FROM tr),
+ps AS (SELECT a.item_id AS item_1, b.item_id AS item_2, round(sqrt(sum((a.rating - b.rating) * (a.rating - b.rating))), 9) AS euc,
+  round(sum(a.rating * b.rating) / (sqrt(sum(a.rating * a.rating)) * sqrt(sum(b.rating * b.rating))), 9) AS cos,
+  CASE WHEN sum((a.rating - a.mean) * (a.rating - a.mean)) > 1e-9 AND sum((b.rating - a.mean) * (b.rating - a.mean)) > 1e-9
+    THEN round(sum((a.rating - a.mean) * (b.rating - a.mean)) / (sqrt(sum((a.rating - a.mean) * (a.rating - a.mean))) * sqrt(sum((b.rating - a.mean) * (b.rating - a.mean)))), 9) END AS adj
+  FROM tm a JOIN tm b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2),
+tg AS (SELECT DISTINCT user_id, item_id FROM split WHERE part = 'dev'),
+nb AS (SELECT tg.user_id, tg.item_id, tr.item_id AS neighbour, tr.rating, euc, cos, adj FROM tg JOIN tr ON tg.user_id = tr.user_id AND tg.item_id <> tr.item_id
+  JOIN ps ON item_1 = least(tg.item_id, tr.item_id) AND item_2 = greatest(tg.item_id, tr.item_id)),
+lg AS (SELECT user_id, item_id, neighbour, rating, 'euc' AS metric, euc AS score FROM nb UNION ALL SELECT user_id, item_id, neighbour, rating, 'cos', cos FROM nb UNION ALL SELECT user_id, item_id, neighbour, rating, 'adj', adj FROM nb WHERE adj IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id, metric ORDER BY CASE WHEN metric = 'euc' THEN score ELSE -score END, CASE WHEN metric = 'euc' THEN neighbour ELSE -neighbour END) AS rank FROM lg),
+top AS (SELECT * FROM rk WHERE rank <= 30)"""
+
+
 def neighbours(train: DataFrame, targets: DataFrame, rated: DataFrame | None = None) -> DataFrame:
     """user_id, item_id (target), neighbour, rating (of the neighbour by the user), metric, score, rank up to DEPTH.
 
@@ -158,33 +191,32 @@ def neighbours(train: DataFrame, targets: DataFrame, rated: DataFrame | None = N
     return long.withColumn("rank", rank).where(F.col("rank") <= DEPTH)
 
 
+@query("no_corated_counts", f"""WITH {_KNN}, nc AS (SELECT tg.user_id, tg.item_id, count(*) FILTER (item_1 IS NULL) AS none FROM tg JOIN tr ON tg.user_id = tr.user_id AND tg.item_id <> tr.item_id
+  LEFT JOIN ps ON item_1 = least(tg.item_id, tr.item_id) AND item_2 = greatest(tg.item_id, tr.item_id) GROUP BY 1, 2)
+SELECT user_id, item_id, none, (sum(none) OVER (PARTITION BY user_id ORDER BY item_id))::BIGINT AS so_far FROM nc""")
+def no_corated_counts(spark, sf):
+    """For each target the user's rated items without a co-rater of both, and the user's counter after it."""
+    train, targets = train_and_targets(spark, sf)
+    known = corated(train).select("item_1", "item_2").distinct().withColumn("known", F.lit(1))
+    near = targets.join(train.select("user_id", F.col("item_id").alias("neighbour")), "user_id").where("item_id <> neighbour").select("user_id", "item_id", F.least("item_id", "neighbour").alias("item_1"), F.greatest("item_id", "neighbour").alias("item_2"))
+    none = near.join(known, ["item_1", "item_2"], "left").groupBy("user_id", "item_id").agg(F.count_if(F.col("known").isNull()).alias("none"))
+    return none.withColumn("so_far", F.sum("none").over(Window.partitionBy("user_id").orderBy("item_id")))
+
+
 def votes(near: DataFrame) -> DataFrame:
-    """Predictions of the first k neighbours for every k: user_id, item_id, metric, k, pred (null where weights vanish)."""
+    """Predictions of the first k neighbours for every k: user_id, item_id, metric, k, pred (null where weights vanish); with a column centred, pred_centred too."""
     weight = F.when(F.col("metric") == "euc", 1 / (1 + F.col("score"))).when(F.col("metric") == "adj", F.abs("score")).otherwise(F.col("score"))
     w = Window.partitionBy("user_id", "item_id", "metric").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    pred = F.try_divide(F.sum(weight * F.col("rating")).over(w), F.nullif(F.round(F.sum(F.abs(weight)).over(w), 9), F.lit(0.0)))
-    return near.select("user_id", "item_id", "metric", F.col("rank").alias("k"), pred.alias("pred"))
+    total = F.nullif(F.round(F.sum(F.abs(weight)).over(w), 9), F.lit(0.0))
+    preds = [F.try_divide(F.sum(weight * F.col(c)).over(w), total).alias(n) for c, n in (("rating", "pred"), ("centred", "pred_centred")) if c in near.columns]
+    return near.select("user_id", "item_id", "metric", F.col("rank").alias("k"), *preds)
 
 
 def train_and_targets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    s = split(spark, sf)
+    s = materialize(split(spark, sf), "split")
     return with_mean(utility(s.where("part = 'train'"))), s.where("part = 'dev'").select("user_id", "item_id").distinct()
 
 
-_KNN = f"""{SPLIT},
-tr AS (SELECT item_id, user_id, sum(rating) AS rating FROM split WHERE part = 'train' GROUP BY 1, 2),
-tm AS (SELECT *, avg(rating) OVER (PARTITION BY user_id) AS mean FROM tr),
-ps AS (SELECT a.item_id AS item_1, b.item_id AS item_2, round(sqrt(sum((a.rating - b.rating) * (a.rating - b.rating))), 9) AS euc,
-  round(sum(a.rating * b.rating) / (sqrt(sum(a.rating * a.rating)) * sqrt(sum(b.rating * b.rating))), 9) AS cos,
-  CASE WHEN sum((a.rating - a.mean) * (a.rating - a.mean)) > 1e-9 AND sum((b.rating - a.mean) * (b.rating - a.mean)) > 1e-9
-    THEN round(sum((a.rating - a.mean) * (b.rating - a.mean)) / (sqrt(sum((a.rating - a.mean) * (a.rating - a.mean))) * sqrt(sum((b.rating - a.mean) * (b.rating - a.mean)))), 9) END AS adj
-  FROM tm a JOIN tm b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2),
-tg AS (SELECT DISTINCT user_id, item_id FROM split WHERE part = 'dev'),
-nb AS (SELECT tg.user_id, tg.item_id, tr.item_id AS neighbour, tr.rating, euc, cos, adj FROM tg JOIN tr ON tg.user_id = tr.user_id AND tg.item_id <> tr.item_id
-  JOIN ps ON item_1 = least(tg.item_id, tr.item_id) AND item_2 = greatest(tg.item_id, tr.item_id)),
-lg AS (SELECT user_id, item_id, neighbour, rating, 'euc' AS metric, euc AS score FROM nb UNION ALL SELECT user_id, item_id, neighbour, rating, 'cos', cos FROM nb UNION ALL SELECT user_id, item_id, neighbour, rating, 'adj', adj FROM nb WHERE adj IS NOT NULL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id, metric ORDER BY CASE WHEN metric = 'euc' THEN score ELSE -score END, CASE WHEN metric = 'euc' THEN neighbour ELSE -neighbour END) AS rank FROM lg),
-top AS (SELECT * FROM rk WHERE rank <= 30)"""
 _VOTE = """vw AS (SELECT *, CASE metric WHEN 'euc' THEN 1 / (1 + score) WHEN 'adj' THEN abs(score) ELSE score END AS w FROM top),
 vote AS (SELECT user_id, item_id, metric, rank AS k, sum(w * rating) OVER win / nullif(round(sum(abs(w)) OVER win, 9), 0) AS pred FROM vw WINDOW win AS (PARTITION BY user_id, item_id, metric ORDER BY rank ROWS UNBOUNDED PRECEDING))"""
 
@@ -217,61 +249,94 @@ def knn_predict_norm(spark, sf):
     return back.select("user_id", "item_id", "metric", F.col("k").cast("long").alias("k"), F.round(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col("pred") - 0.001 + F.col("item_mean"))) + 1e-9, 5).alias("pred"))
 
 
-def predicted(spark: SparkSession, sf: str, ks: tuple[int, ...] = (2, 10, 30)) -> DataFrame:
-    """Dev ratings with the prediction of each metric and k: that of the neighbours there are, else the user's mean."""
-    s = split(spark, sf)
-    train, targets = train_and_targets(spark, sf)
-    means = train.groupBy("user_id").agg(F.avg("rating").alias("mean"), F.count("*").alias("n_train"))
-    grid = s.where("part = 'dev'").select("user_id", "item_id", F.col("rating").alias("actual"), F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
-    got = votes(neighbours(train, targets)).groupBy("user_id", "item_id", "metric").agg(*[F.max_by("pred", F.when(F.col("k") <= k, F.col("k"))).alias(f"p{k}") for k in ks])
-    all_ = grid.join(got, ["user_id", "item_id", "metric"], "left").join(means, "user_id", "left")
-    k_pred = F.explode(F.create_map(*[x for k in ks for x in (F.lit(k), F.col(f"p{k}"))]))
-    return all_.select("user_id", "item_id", "actual", "metric", "mean", "n_train", k_pred.alias("k", "p")).withColumn("pred", F.round(F.coalesce("p", "mean"), 6)).drop("p")
-
+KS = tuple(range(2, DEPTH + 1))
 
-_PRED = f"""{_KNN}, {_VOTE},
-um AS (SELECT user_id, avg(rating) AS mean, count(*) AS n_train FROM tr GROUP BY 1),
-ks AS (SELECT unnest([2, 10, 30]) AS k), ms AS (SELECT unnest(['euc', 'cos', 'adj']) AS metric),
-bestk AS (SELECT user_id, item_id, metric, ks.k, arg_max(pred, vote.k) AS p FROM vote JOIN ks ON vote.k <= ks.k GROUP BY ALL),
-pr AS (SELECT d.user_id, d.item_id, d.rating AS actual, ms.metric, ks.k, n_train, round(coalesce(p, mean), 6) AS pred FROM (SELECT * FROM split WHERE part = 'dev') d CROSS JOIN ms CROSS JOIN ks
-  LEFT JOIN bestk b ON b.user_id = d.user_id AND b.item_id = d.item_id AND b.metric = ms.metric AND b.k = ks.k LEFT JOIN um ON um.user_id = d.user_id)"""
 
+def predicted(spark: SparkSession, sf: str, ks: tuple[int, ...] = KS, normalised: tuple[str, ...] = ("F", "T"), parts: tuple[str, ...] = ("dev",)) -> DataFrame:
+    """Held-out ratings (part, user_id, item_id, actual) with the prediction of each metric, k and normalisation, and the user's n_train.
 
-@query("prediction_vs_actual", f"WITH {_PRED} SELECT user_id, item_id, actual, metric, k, pred FROM pr")
+    It is that of the neighbours there are, else the user's mean. normalised: F votes on ratings; T on ratings less the
+    item's mean plus 0.001, brought back by the target's mean and clamped to 1..5.
+    """
+    s = materialize(split(spark, sf), "split")
+    train, held = with_mean(utility(s.where("part = 'train'"))), s.where(F.col("part").isin(*parts))
+    by_user = train.groupBy("user_id").agg(F.avg("rating").alias("mean"), F.count("*").alias("n_train"))
+    by_item = train.groupBy("item_id").agg(F.avg("rating").alias("item_mean"))
+    near = neighbours(train, held.select("user_id", "item_id").distinct())
+    if "T" in normalised:
+        near = near.join(by_item.withColumnRenamed("item_id", "neighbour"), "neighbour").withColumn("centred", F.col("rating") - F.col("item_mean") + 0.001).drop("item_mean")
+    got = votes(near).withColumn("v", F.struct("k", "pred", *(["pred_centred"] if "T" in normalised else [])))
+    got = got.groupBy("user_id", "item_id", "metric").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    rows = held.select("part", "user_id", "item_id", F.col("rating").alias("actual"), F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
+    rows = rows.join(got, ["user_id", "item_id", "metric"], "left").join(by_user, "user_id", "left").join(by_item, "item_id", "left")
+    rows = rows.withColumn("normalized", F.explode(F.array(*map(F.lit, normalised)))).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    last = F.get("v", F.least(F.col("k"), F.size("v")) - 1)
+    p = last["pred"]
+    if "T" in normalised:
+        p = F.when(F.col("normalized") == "F", p).otherwise(F.least(F.lit(5.0), F.greatest(F.lit(1.0), last["pred_centred"] - 0.001 + F.col("item_mean"))))
+        p = F.when(last.isNotNull(), p)
+    return rows.select("part", "user_id", "item_id", "actual", "metric", "normalized", "k", "n_train", F.round(F.coalesce(p, "mean") + 1e-9, 5).alias("pred"))
+
+
+def pred_sql(ks: str = "range(2, 31)", normalised: str = "['F', 'T']", parts: str = "'dev'") -> str:
+    return f"""{_KNN.replace("WHERE part = 'dev')", f"WHERE part IN ({parts}))")},
+um AS (SELECT user_id, avg(rating) AS mean, count(*) AS n_train FROM tr GROUP BY 1), im AS (SELECT item_id, avg(rating) AS item_mean FROM tr GROUP BY 1),
+vw AS (SELECT top.*, top.rating - im.item_mean + 0.001 AS centred, CASE metric WHEN 'euc' THEN 1 / (1 + score) WHEN 'adj' THEN abs(score) ELSE score END AS w FROM top JOIN im ON im.item_id = top.neighbour),
+vote AS (SELECT user_id, item_id, metric, rank AS k, sum(w * rating) OVER win / nullif(round(sum(abs(w)) OVER win, 9), 0) AS p, sum(w * centred) OVER win / nullif(round(sum(abs(w)) OVER win, 9), 0) AS c
+  FROM vw WINDOW win AS (PARTITION BY user_id, item_id, metric ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+vl AS (SELECT user_id, item_id, metric, list(p ORDER BY k) AS ps, list(c ORDER BY k) AS cs FROM vote GROUP BY ALL),
+hl AS (SELECT h.part, h.user_id, h.item_id, h.rating AS actual, ms.metric, ps, cs, mean, n_train, item_mean FROM (SELECT * FROM split WHERE part IN ({parts})) h CROSS JOIN (SELECT unnest(['euc', 'cos', 'adj']) AS metric) ms
+  LEFT JOIN vl ON vl.user_id = h.user_id AND vl.item_id = h.item_id AND vl.metric = ms.metric LEFT JOIN um ON um.user_id = h.user_id LEFT JOIN im ON im.item_id = h.item_id),
+pr AS (SELECT part, user_id, item_id, actual, metric, normalized, k, n_train, round(coalesce(CASE WHEN normalized = 'F' OR ps IS NULL THEN ps[least(k, len(ps))] WHEN cs[least(k, len(cs))] IS NOT NULL THEN least(5, greatest(1, cs[least(k, len(cs))] - 0.001 + item_mean)) END, mean) + 1e-9, 5) AS pred
+  FROM hl CROSS JOIN (SELECT unnest({ks}) AS k) CROSS JOIN (SELECT unnest({normalised}) AS normalized))"""
+
+
+_PRED = pred_sql()
+_PRED_30 = pred_sql("[30]", "['F']")
+
+
+def _error() -> Column:
+    return F.pow(F.col("pred") - F.col("actual"), F.lit(2))
+
+
+def _hit() -> Column:
+    return ((F.col("pred") > 2.5) == (F.col("actual") > 2.5)).cast("int")
+
+
+@query("prediction_vs_actual", f"WITH {_PRED} SELECT user_id, item_id, actual, metric, normalized, k, pred FROM pr")
 def prediction_vs_actual(spark, sf):
-    return predicted(spark, sf).select("user_id", "item_id", "actual", "metric", "k", "pred")
+    return predicted(spark, sf).select("user_id", "item_id", "actual", "metric", "normalized", "k", "pred")
 
 
-@query("rmse_bins", f"WITH {_PRED} SELECT metric, k, n_train, round(sum(pow(pred - actual, 2)), 3) AS sse, count(*) AS n, round(sqrt(sum(pow(pred - actual, 2)) / count(*)), 4) AS rmse FROM pr GROUP BY 1, 2, 3 HAVING round(sum(pow(pred - actual, 2)), 9) <> 0")
+@query("rmse_bins", f"WITH {_PRED} SELECT metric, normalized, k, n_train, round(sum(pow(pred - actual, 2)), 3) AS sse, count(*) AS n, round(sqrt(sum(pow(pred - actual, 2)) / count(*)), 4) AS rmse FROM pr GROUP BY 1, 2, 3, 4 HAVING round(sum(pow(pred - actual, 2)), 9) <> 0")
 def rmse_bins(spark, sf):
-    e = F.pow(F.col("pred") - F.col("actual"), F.lit(2))
-    b = predicted(spark, sf).groupBy("metric", "k", "n_train").agg(F.sum(e).alias("s"), F.count("*").alias("n")).where("round(s, 9) <> 0")
-    return b.select("metric", "k", "n_train", F.round("s", 3).alias("sse"), "n", F.round(F.sqrt(F.col("s") / F.col("n")), 4).alias("rmse"))
+    b = predicted(spark, sf).groupBy("metric", "normalized", "k", "n_train").agg(F.sum(_error()).alias("s"), F.count("*").alias("n")).where("round(s, 9) <> 0")
+    return b.select("metric", "normalized", "k", "n_train", F.round("s", 3).alias("sse"), "n", F.round(F.sqrt(F.col("s") / F.col("n")), 4).alias("rmse"))
 
 
-@query("rmse_cumulative", f"WITH {_PRED}, b AS (SELECT metric, k, n_train, sum(pow(pred - actual, 2)) AS s, count(*) AS n FROM pr GROUP BY 1, 2, 3) SELECT metric, k, round(sqrt(sum(s) FILTER (round(s, 9) <> 0) / sum(n) FILTER (round(s, 9) <> 0)), 4) AS rmse, round(sqrt(sum(s) / sum(n)), 4) AS rmse_all FROM b GROUP BY 1, 2")
+@query("rmse_cumulative", f"WITH {_PRED}, b AS (SELECT metric, normalized, k, n_train, sum(pow(pred - actual, 2)) AS s, count(*) AS n FROM pr GROUP BY 1, 2, 3, 4) SELECT metric, normalized, k, round(sqrt(sum(s) FILTER (round(s, 9) <> 0) / sum(n) FILTER (round(s, 9) <> 0)), 4) AS rmse, round(sqrt(sum(s) / sum(n)), 4) AS rmse_all FROM b GROUP BY 1, 2, 3")
 def rmse_cumulative(spark, sf):
     """Over bins with an error, and over all."""
-    e = F.pow(F.col("pred") - F.col("actual"), F.lit(2))
-    b = predicted(spark, sf).groupBy("metric", "k", "n_train").agg(F.sum(e).alias("s"), F.count("*").alias("n"))
+    b = predicted(spark, sf).groupBy("metric", "normalized", "k", "n_train").agg(F.sum(_error()).alias("s"), F.count("*").alias("n"))
     on = F.round("s", 9) != 0
-    return b.groupBy("metric", "k").agg(F.round(F.sqrt(F.sum(F.when(on, F.col("s"))) / F.sum(F.when(on, F.col("n")))), 4).alias("rmse"), F.round(F.sqrt(F.sum("s") / F.sum("n")), 4).alias("rmse_all"))
+    return b.groupBy("metric", "normalized", "k").agg(F.round(F.sqrt(F.sum(F.when(on, F.col("s"))) / F.sum(F.when(on, F.col("n")))), 4).alias("rmse"), F.round(F.sqrt(F.sum("s") / F.sum("n")), 4).alias("rmse_all"))
 
 
-@query("accuracy_by_k", f"WITH {_PRED} SELECT metric, k, round(avg(((pred > 2.5) = (actual > 2.5))::INT), 6) AS accuracy, count(*) AS n FROM pr GROUP BY 1, 2")
+@query("accuracy_by_k", f"WITH {_PRED} SELECT metric, normalized, k, round(avg(((pred > 2.5) = (actual > 2.5))::INT), 6) AS accuracy, count(*) AS n FROM pr GROUP BY 1, 2, 3")
 def accuracy_by_k(spark, sf):
-    return predicted(spark, sf).groupBy("metric", "k").agg(F.round(F.avg(((F.col("pred") > 2.5) == (F.col("actual") > 2.5)).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+    return predicted(spark, sf).groupBy("metric", "normalized", "k").agg(F.round(F.avg(_hit()), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("accuracy_rmse_report", f"WITH {_PRED} SELECT k, metric, 'no' AS normalized, 'dev' AS part, round(sqrt(avg(pow(pred - actual, 2))), 4) AS rmse, round(avg(((pred > 2.5) = (actual > 2.5))::INT), 6) AS accuracy FROM pr GROUP BY 1, 2")
+@query("accuracy_rmse_report", f"""WITH {pred_sql(parts="'dev', 'eval'")} SELECT k, metric, normalized, part, round(sqrt(avg(pow(pred - actual, 2))), 4) AS rmse, round(avg(((pred > 2.5) = (actual > 2.5))::INT), 6) AS accuracy FROM pr GROUP BY 1, 2, 3, 4""")
 def accuracy_rmse_report(spark, sf):
-    e = F.pow(F.col("pred") - F.col("actual"), F.lit(2))
-    return predicted(spark, sf).groupBy("k", "metric").agg(F.lit("no").alias("normalized"), F.lit("dev").alias("part"), F.round(F.sqrt(F.avg(e)), 4).alias("rmse"), F.round(F.avg(((F.col("pred") > 2.5) == (F.col("actual") > 2.5)).cast("int")), 6).alias("accuracy"))
+    """Accuracy and error of every k, metric and normalisation on both held-out parts, joined by these keys."""
+    keys = ["k", "metric", "normalized", "part"]
+    return predicted(spark, sf, parts=("dev", "eval")).groupBy(*keys).agg(F.round(F.sqrt(F.avg(_error())), 4).alias("rmse"), F.round(F.avg(_hit()), 6).alias("accuracy"))
 
 
-@query("prediction_diff", f"WITH {_PRED} SELECT a.user_id, a.item_id, a.metric, a.actual, a.pred AS pred_2, b.pred AS pred_30 FROM pr a JOIN pr b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.metric = b.metric AND a.actual = b.actual WHERE a.k = 2 AND b.k = 30 AND abs(a.pred - b.pred) > 0.001")
+@query("prediction_diff", f"""WITH {pred_sql("[2, 30]", "['F']")}, b AS (SELECT user_id, item_id, metric, actual, max(pred) FILTER (k = 2) AS pred_2, max(pred) FILTER (k = 30) AS pred_30 FROM pr GROUP BY 1, 2, 3, 4) SELECT * FROM b WHERE abs(pred_2 - pred_30) > 0.001""")
 def prediction_diff(spark, sf):
-    p = predicted(spark, sf)
+    p = predicted(spark, sf, (2, 30), ("F",))
     key = ["user_id", "item_id", "metric", "actual"]
     both = p.groupBy(key).agg(F.max(F.when(F.col("k") == 2, F.col("pred"))).alias("x"), F.max(F.when(F.col("k") == 30, F.col("pred"))).alias("y"))
     return both.where(F.abs(F.col("x") - F.col("y")) > 0.001).select(*key, F.col("x").alias("pred_2"), F.col("y").alias("pred_30"))
@@ -283,14 +348,33 @@ def baseline_average(spark, sf):
     return targets.join(train.groupBy("user_id").agg(F.round(F.avg("rating"), 6).alias("pred")), "user_id")
 
 
-@query("baseline_random")
+#: Steps of the arithmetic hash that stands for random numbers: the same in SQL and on every run.
+STEP, PRIME = 48_271, 2_147_483_647
+
+
+def scrambled(*numbers: Column) -> Column:
+    """A number below PRIME from whole numbers, by multiplication modulo a prime."""
+    h = F.lit(1).cast("long")
+    for x in numbers:
+        h = ((h + x) % PRIME * STEP) % PRIME * STEP % PRIME
+    return h
+
+
+def scrambled_sql(*numbers: str) -> str:
+    h = "1"
+    for x in numbers:
+        h = f"((({h} + {x})::BIGINT % {PRIME} * {STEP}) % {PRIME} * {STEP} % {PRIME})"
+    return h
+
+
+@query("baseline_random", f"WITH {SPLIT} SELECT DISTINCT user_id, item_id, {scrambled_sql('user_id', 'item_id')} / {PRIME} * 4 + 1 AS pred FROM split WHERE part = 'dev'")
 def baseline_random(spark, sf):
     """Predictions in [1, 5) from a hash of the target: the same on every run."""
     _, targets = train_and_targets(spark, sf)
-    return targets.withColumn("pred", F.pmod(F.xxhash64("user_id", "item_id"), F.lit(1 << 20)) / (1 << 20) * 4 + 1)
+    return targets.withColumn("pred", scrambled(F.col("user_id"), F.col("item_id")) / PRIME * 4 + 1)
 
 
-_CONF = f"""{_PRED}, cm AS (SELECT *, (pred > 2.5) AS p, (actual > 2.5) AS a FROM pr WHERE k = 30 AND metric = 'cos')"""
+_CONF = f"""{_PRED_30}, cm AS (SELECT *, (pred > 2.5) AS p, (actual > 2.5) AS a FROM pr WHERE metric = 'cos')"""
 _CELLS = "count(*) AS n, sum((p AND a)::INT)::BIGINT AS tp, sum((p AND NOT a)::INT)::BIGINT AS fp, sum((NOT p AND a)::INT)::BIGINT AS fn, sum((NOT p AND NOT a)::INT)::BIGINT AS tn"
 _RATES = "round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision_, round(tp / nullif(tp + fn, 0), 6) AS recall"
 
@@ -308,7 +392,7 @@ def rates() -> list[Column]:
 
 
 def _judged(spark, sf):
-    return predicted(spark, sf, (30,)).where("metric = 'cos'")
+    return predicted(spark, sf, (30,), ("F",)).where("metric = 'cos'")
 
 
 @query("confusion_by_group", f"WITH {_CONF}, c AS (SELECT user_id, {_CELLS} FROM cm GROUP BY 1) SELECT *, {_RATES} FROM c")
@@ -329,10 +413,10 @@ def accuracy_trend(spark, sf):
     return c.agg(F.round(F.regr_slope("accuracy", x), 6).alias("slope"), F.round(F.regr_intercept("accuracy", x), 6).alias("intercept"), F.round(F.regr_r2("accuracy", x), 6).alias("r2"))
 
 
-@query("cf_confidence", f"WITH {_PRED} SELECT user_id, item_id, actual, metric, k, (pred > 2.5)::INT AS good, round(CASE WHEN pred <= 2.5 THEN 100 / 3.0 * pred - 100 / 3.0 ELSE 20 * pred END, 5) AS confidence FROM pr")
+@query("cf_confidence", f"""WITH {pred_sql(normalised="['F']")} SELECT user_id, item_id, actual, metric, k, (pred > 2.5)::INT AS good, round(CASE WHEN pred <= 2.5 THEN 100 / 3.0 * pred - 100 / 3.0 ELSE 20 * pred END, 4) AS confidence FROM pr""")
 def cf_confidence(spark, sf):
     p = F.col("pred")
-    return predicted(spark, sf).select("user_id", "item_id", "actual", "metric", "k", (p > 2.5).cast("int").alias("good"), F.round(confidence(p), 5).alias("confidence"))
+    return predicted(spark, sf, normalised=("F",)).select("user_id", "item_id", "actual", "metric", "k", (p > 2.5).cast("int").alias("good"), F.round(confidence(p), 4).alias("confidence"))
 
 
 def confidence(p: Column) -> Column:
@@ -340,8 +424,8 @@ def confidence(p: Column) -> Column:
     return F.when(p <= 2.5, p * (100 / 3) - 100 / 3).otherwise(p * 20)
 
 
-@query("synthetic_matrix")
+@query("synthetic_matrix", f"SELECT id // 150 AS row, id % 150 AS col, h % 9 + 1 AS value FROM (SELECT range AS id, {scrambled_sql('range')} AS h FROM range(15000)) WHERE h % 1000000 >= 900000")
 def synthetic_matrix(spark, sf, rows: int = 100, columns: int = 150, empty: float = 0.9):
     """A sparse random matrix of values 1..9 in long form; the cell's hash decides, so each run gives the same."""
-    cell = spark.range(rows * columns).select((F.col("id") / columns).cast("long").alias("row"), (F.col("id") % columns).alias("col"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("h"))
-    return cell.where(F.col("h") >= int(empty * 1_000_000)).select("row", "col", (F.col("h") % 9 + 1).alias("value"))
+    cell = spark.range(rows * columns).select((F.col("id") / columns).cast("long").alias("row"), (F.col("id") % columns).alias("col"), scrambled(F.col("id")).alias("h"))
+    return cell.where(F.col("h") % 1_000_000 >= int(empty * 1_000_000)).select("row", "col", (F.col("h") % 9 + 1).alias("value"))

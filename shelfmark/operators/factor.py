@@ -3,31 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.stages import materialize
 from ..sources.tables import ratings, table
-from .cf import _U, normalized, utility
+from .cf import _U, PRIME, normalized, scrambled, utility
 
 _INIT = "sqrt((SELECT avg(rating) FROM u) / {d})"
 
 
-def start(u: DataFrame, d: int, column: str) -> DataFrame:
-    """id, f: d equal latent values, sqrt(mean / d)."""
+#: Half the width of the factors of random starts, as a part of the fixed start's.
+SPREAD = 0.5
+
+
+def start(u: DataFrame, d: int, column: str, runs: int = 1, ones: bool = False) -> DataFrame:
+    """run, id, f: d latent values. Run 0 starts from sqrt(mean / d) everywhere (ones: from 1); further runs move each value at random, by a hash of run, id and place."""
     mean = u.agg(F.avg("rating").alias("m"))
-    return u.select(F.col(column).alias("id")).distinct().join(F.broadcast(mean)).select("id", F.array_repeat(F.sqrt(F.col("m") / d), d).alias("f"))
+    value = F.lit(1.0) if ones else F.sqrt(F.col("m") / d)
+    rows = u.select(F.col(column).alias("id")).distinct().join(F.broadcast(mean)).select(F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "id", value.alias("value"))
+    move = [F.when(F.col("run") > 0, (scrambled(F.col("run"), F.col("id"), F.lit(s)) / PRIME * 2 - 1) * SPREAD).otherwise(0.0) + 1.0 for s in range(d)]
+    return rows.select("run", "id", F.array(*[F.col("value") * m for m in move]).alias("f"))
+
+
+def _both(cells: DataFrame, mine: DataFrame, other: DataFrame) -> DataFrame:
+    return cells.join(mine.withColumnRenamed("f", "a"), "id").join(other.select("run", F.col("id").alias("other"), F.col("f").alias("b")), ["run", "other"])
+
+
+def _dot() -> Column:
+    return F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
 
 
 def update(cells: DataFrame, mine: DataFrame, other: DataFrame, s: int) -> DataFrame:
-    """Least squares for latent value s (from 0) of every row: cells (id, other, rating)."""
-    x = cells.join(mine.withColumnRenamed("f", "a"), "id").join(other.select(F.col("id").alias("other"), F.col("f").alias("b")), "other")
-    dot = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-    rest = F.col("rating") - dot + F.element_at("a", s + 1) * F.element_at("b", s + 1)
-    new = x.groupBy("id").agg(F.sum(rest * F.element_at("b", s + 1)).alias("num"), F.sum(F.element_at("b", s + 1) * F.element_at("b", s + 1)).alias("den"))
+    """Least squares for latent value s (from 0) of every row and run: cells (id, other, rating)."""
+    x = _both(cells, mine, other)
+    rest = F.col("rating") - _dot() + F.element_at("a", s + 1) * F.element_at("b", s + 1)
+    new = x.groupBy("run", "id").agg(F.sum(rest * F.element_at("b", s + 1)).alias("num"), F.sum(F.element_at("b", s + 1) * F.element_at("b", s + 1)).alias("den"))
     value = F.coalesce(F.try_divide(F.col("num"), F.col("den")), F.lit(0.0))
-    return mine.join(new, "id").select("id", F.transform("f", lambda v, i: F.when(i == s, value).otherwise(v)).alias("f"))
+    return mine.join(new, ["run", "id"]).select("run", "id", F.transform("f", lambda v, i: F.when(i == s, value).otherwise(v)).alias("f"))
 
 
 def views(u: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,36 +49,44 @@ def views(u: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.select(F.col("other").alias("id"), F.col("id").alias("other"), "rating")
 
 
-def rmse(rows: DataFrame, u: DataFrame, v: DataFrame) -> float:
-    x = rows.join(u.withColumnRenamed("f", "a"), "id").join(v.select(F.col("id").alias("other"), F.col("f").alias("b")), "other")
-    dot = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda t, w: t + w)
-    return float(x.agg(F.sqrt(F.avg(F.pow(F.col("rating") - dot, F.lit(2))))).first()[0] or 0.0)
+def rmse(rows: DataFrame, u: DataFrame, v: DataFrame) -> dict[int, float]:
+    """The error over rated cells of each run: one row per run."""
+    x = _both(rows, u, v)
+    return {r["run"]: float(r["e"]) for r in x.groupBy("run").agg(F.sqrt(F.avg(F.pow(F.col("rating") - _dot(), F.lit(2)))).alias("e")).collect()}
 
 
 #: Far beyond what the rule takes; every sweep of the loop gains least_gain at least.
 MOST_SWEEPS = 1000
 
 
-def fit(u: DataFrame, d: int = 2, sweeps: int | None = None, least_gain: float = 0.005) -> tuple[DataFrame, DataFrame, float]:
-    """Full sweeps until the error falls by less than least_gain, or as many as given; factors are stage tables after each sweep."""
+def fit(u: DataFrame, d: int = 2, sweeps: int | None = None, least_gain: float = 0.005, restarts: int = 0) -> tuple[DataFrame, DataFrame, float]:
+    """Full sweeps until the error falls by less than least_gain, or as many as given; factors are stage tables after each sweep.
+
+    restarts: so many further runs from random starts, swept in the same jobs; the run with the least error is returned
+    (ties: the first). A run that has met the rule is left as it is.
+    """
     rows, columns = views(materialize(u, "uv-cells"))
-    a, b = start(u, d, "item_id"), start(u, d, "user_id")
-    a, b = materialize(a, "uv-rows"), materialize(b, "uv-columns")
+    a, b = (materialize(start(u, d, c, 1 + restarts), "uv-start") for c in ("item_id", "user_id"))
     error = rmse(rows, a, b)
+    open_, best = set(error), (float("inf"), 0, a, b)
     for _ in range(MOST_SWEEPS if sweeps is None else sweeps):
         for s in range(d):
             a = materialize(update(rows, a, b, s), "uv-rows")
         for s in range(d):
             b = materialize(update(columns, b, a, s), "uv-columns")
         new = rmse(rows, a, b)
-        if not np.isfinite(new):
+        if not np.isfinite(list(new.values())).all():
             raise ValueError(f"the error of the factors is {new}")
-        if error - new < least_gain:
-            return a, b, new
-        error = new
-    if sweeps is None:
+        ended = {r for r in open_ if error[r] - new[r] < least_gain}
+        best = min([best, *((new[r], r, a, b) for r in sorted(ended))], key=lambda x: x[:2])
+        open_, error = open_ - ended, new
+        if not open_:
+            break
+        a, b = (x.where(F.col("run").isin(sorted(open_))) for x in (a, b))
+    if open_ and sweeps is None:
         raise RuntimeError(f"no end after {MOST_SWEEPS} sweeps: the error is {error}")
-    return a, b, error
+    least, run, a, b = min([best, *((error[r], r, a, b) for r in sorted(open_))], key=lambda x: x[:2])
+    return *(x.where(F.col("run") == run).select("id", "f") for x in (a, b)), (0.0 if least == float("inf") else least)
 
 
 @query("uv_init", f"WITH {_U} SELECT DISTINCT 'item' AS side, item_id AS id, round({_INIT.format(d=2)}, 6) AS f1, round({_INIT.format(d=2)}, 6) AS f2 FROM u UNION ALL SELECT DISTINCT 'user', user_id, round({_INIT.format(d=2)}, 6), round({_INIT.format(d=2)}, 6) FROM u")
@@ -82,7 +104,7 @@ def one_sweep(u: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame,
     """cells: other values of u's cells to fit. An item's factor that is 0 but for the last bits of a sum is 0, so that no user's factor is divided by it."""
     rows, columns = views(u if cells is None else cells)
     a = update(rows, start(u, 1, "item_id"), start(u, 1, "user_id"), 0)
-    a = a.select("id", F.transform("f", lambda v: F.when(F.abs(v) < 1e-9, 0.0).otherwise(v)).alias("f"))
+    a = a.select("run", "id", F.transform("f", lambda v: F.when(F.abs(v) < 1e-9, 0.0).otherwise(v)).alias("f"))
     return a, update(columns, start(u, 1, "user_id"), a, 0)
 
 
@@ -99,7 +121,12 @@ def centred(u: DataFrame) -> DataFrame:
     return normalized(u).select("item_id", "user_id", (F.col("rating") - mean).alias("rating"), "item_mean", mean.alias("user_mean"))
 
 
-@query("uv_reconstruct", f"WITH {_SWEEP} SELECT item_id, user_id, round(least(9, greatest(0, a.f * b.f + avg(u.rating) OVER (PARTITION BY item_id) - avg(u.rating) OVER (PARTITION BY item_id))), 4) AS pred FROM u JOIN a USING (item_id) JOIN b USING (user_id)")
+_CENTRED = f"""{_U}, c AS (SELECT sqrt(avg(rating)) AS c FROM u), ci AS (SELECT *, avg(rating) OVER (PARTITION BY item_id) AS item_mean FROM u),
+cu AS (SELECT item_id, user_id, item_mean, avg(rating - item_mean) OVER (PARTITION BY user_id) AS user_mean, rating - item_mean - avg(rating - item_mean) OVER (PARTITION BY user_id) AS rating FROM ci),
+a AS (SELECT item_id, CASE WHEN abs(f) < 1e-9 THEN 0 ELSE f END AS f FROM (SELECT item_id, sum(rating * c) / sum(c * c) AS f FROM cu, c GROUP BY 1)), b AS (SELECT user_id, coalesce(sum(rating * f) / nullif(sum(f * f), 0), 0) AS f FROM cu JOIN a USING (item_id) GROUP BY 1)"""
+
+
+@query("uv_reconstruct", f"WITH {_CENTRED} SELECT item_id, user_id, round(least(9, greatest(0, a.f * b.f + user_mean + item_mean)) + 1e-9, 4) AS pred FROM cu JOIN a USING (item_id) JOIN b USING (user_id)")
 def uv_reconstruct(spark, sf):
     """Products of the factors of centred ratings at rated cells, with both means added back, clipped to 0..9."""
     u = utility(ratings(spark, sf))
@@ -107,12 +134,13 @@ def uv_reconstruct(spark, sf):
     a, b = one_sweep(u, c)
     x = c.join(a.select(F.col("id").alias("item_id"), F.element_at("f", 1).alias("x")), "item_id").join(b.select(F.col("id").alias("user_id"), F.element_at("f", 1).alias("y")), "user_id")
     pred = F.col("x") * F.col("y") + F.col("user_mean") + F.col("item_mean")
-    return x.select("item_id", "user_id", F.round(F.least(F.lit(9.0), F.greatest(F.lit(0.0), pred)), 4).alias("pred"))
+    return x.select("item_id", "user_id", F.round(F.least(F.lit(9.0), F.greatest(F.lit(0.0), pred)) + 1e-9, 4).alias("pred"))
 
 
 @query("uv_fit")
 def uv_fit(spark, sf):
-    a, b, error = fit(utility(ratings(spark, sf)))
+    """The best of the fixed start and four random ones."""
+    a, b, error = fit(utility(ratings(spark, sf)), restarts=4)
     both = a.select(F.lit("item").alias("side"), "id", "f").unionByName(b.select(F.lit("user").alias("side"), "id", "f"))
     return both.select("side", "id", F.element_at("f", 1).alias("f1"), F.element_at("f", 2).alias("f2"), F.lit(error).alias("rmse"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.stages import materialize
 from ..sources.sinks import pending, user_lines
 from ..sources.tables import pad_id, parse_user_lines, ratings, strip_id, table
 
@@ -112,14 +113,18 @@ def _catalog(spark, sf, flag):
     return table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("item_id")).distinct()
 
 
+def _returned_few(spark, sf):
+    return table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity <= 5").select(F.col("l_partkey").alias("item_id"))
+
+
 @query("catalog_intersect", "SELECT DISTINCT l_partkey AS item_id FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def catalog_intersect(spark, sf):
     return _catalog(spark, sf, "A").intersect(_catalog(spark, sf, "R"))
 
 
-@query("catalog_except", "SELECT l_partkey AS item_id FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("catalog_except", "SELECT l_partkey AS item_id FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 5")
 def catalog_except(spark, sf):
-    return _catalog(spark, sf, "A").exceptAll(_catalog(spark, sf, "R"))
+    return _catalog(spark, sf, "A").subtract(_returned_few(spark, sf))
 
 
 @query("ratings_union", f"WITH {_TWO} SELECT source, count(*) AS n, round(avg(rating), 6) AS mean FROM sc GROUP BY 1")
@@ -141,21 +146,45 @@ def reviewer_distinct(spark, sf):
     return ratings(spark, sf).join(few, "item_id", "left_semi").agg(F.count("*").alias("n_reviews"), F.countDistinct("user_id").alias("n_reviewers"))
 
 
-@query("order_change_detect", "SELECT DISTINCT l_partkey AS item_id FROM lineitem")
+def with_previous(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """rows with last: the column's value in the row before in the whole order. Ranges of the order are tasks; each takes over the end of the one before."""
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("__p").agg(F.max_by(column, F.struct(*order)).alias("end"))
+    # one row per range
+    before = ends.select("__p", F.lag("end").over(Window.orderBy("__p")).alias("before"))
+    within = Window.partitionBy("__p").orderBy(*order)
+    first = F.row_number().over(within) == 1
+    return ranged.join(F.broadcast(before), "__p").withColumn("last", F.when(first, F.col("before")).otherwise(F.lag(column).over(within))).drop("__p", "before")
+
+
+@query("order_change_detect", "SELECT item_id FROM (SELECT l_partkey AS item_id, lag(l_partkey) OVER (ORDER BY l_partkey) AS last FROM lineitem) WHERE last IS NULL OR last <> item_id")
 def order_change_detect(spark, sf):
-    """Ids where a sorted run changes; runs of a key never span partitions of the exchange by key."""
-    w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")
-    before = table(spark, sf, "lineitem").select("l_partkey", F.lag("l_partkey").over(w).alias("last"))
-    return before.where(F.col("last").isNull() | (F.col("last") != F.col("l_partkey"))).select(F.col("l_partkey").alias("item_id"))
+    """Ids where a stream that is sorted by id changes."""
+    ids = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("item_id"))
+    return with_previous(ids, ["item_id"], "item_id").where("last is null or last <> item_id").select("item_id")
+
+
+@query("order_violations", "SELECT l_orderkey, l_linenumber, item_id, last_id FROM (SELECT l_orderkey, l_linenumber, l_partkey AS item_id, lag(l_partkey) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS last_id FROM lineitem) WHERE item_id < last_id")
+def order_violations(spark, sf):
+    """Rows of a stream whose id is below that of the row before."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("item_id"), "l_quantity")
+    return with_previous(rows, KEY, "item_id").where("item_id < last").select("l_orderkey", "l_linenumber", "item_id", F.col("last").alias("last_id"))
 
 
 def quarters(ids: DataFrame, key: str) -> DataFrame:
-    """Quartile of each id by range: counts per range partition, then positions; no task sees all rows."""
-    ranged = ids.select(key).repartitionByRange(key).withColumn("__p", F.spark_partition_id())
+    """Place and quartile of each id, and rank, its place from the end of the quartile.
+
+    The range partitions are written once with their numbers; counts per range give each its first place, so no task
+    sees all rows.
+    """
+    ranged = materialize(ids.select(key).repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("__p").agg(F.count("*").alias("c"))
     offsets = counts.select("__p", (F.sum("c").over(Window.orderBy("__p")) - F.col("c")).alias("offset"), F.sum("c").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1 + F.col("offset")
-    return ranged.join(F.broadcast(offsets), "__p").select(key, place.cast("long").alias("place"), F.least(F.lit(3), F.floor(place * 4 / F.col("total"))).cast("int").alias("quarter"))
+    place = (F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1 + F.col("offset")).cast("long")
+    placed = ranged.join(F.broadcast(offsets), "__p").select(key, place.alias("place"), "total")
+    placed = placed.withColumn("quarter", F.least(F.lit(3), F.floor(F.col("place") * 4 / F.col("total"))).cast("int"))
+    end = F.ceil((F.col("quarter") + 1) * F.col("total") / 4)
+    return placed.select(key, "place", "quarter", (end - F.col("place")).cast("long").alias("rank"))
 
 
 _Q = "q AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS place, least(3, floor((row_number() OVER (ORDER BY p_partkey) - 1) * 4.0 / count(*) OVER ()))::INT AS quarter FROM part)"
@@ -172,8 +201,7 @@ def ntile4(spark, sf):
 
 @query("ntile4_reversed", f"WITH {_Q} SELECT item_id, quarter, row_number() OVER (PARTITION BY quarter ORDER BY place DESC) AS rank FROM q")
 def ntile4_reversed(spark, sf):
-    rank = F.row_number().over(Window.partitionBy("quarter").orderBy(F.desc("place")))
-    return _item_quarters(spark, sf).select("item_id", "quarter", rank.cast("long").alias("rank"))
+    return _item_quarters(spark, sf).select("item_id", "quarter", "rank")
 
 
 @query("dense_index", f"WITH {_Q} SELECT item_id, place AS idx FROM q")
@@ -181,9 +209,11 @@ def dense_index(spark, sf):
     return _item_quarters(spark, sf).select("item_id", F.col("place").alias("idx"))
 
 
-@query("running_group_counts", f"WITH {R} SELECT user_id, count(*) AS n, sum(rating) AS total FROM r GROUP BY 1")
+@query("running_group_counts", f"WITH {R} SELECT user_id, l_orderkey, l_linenumber, item_id, count(*) OVER w AS n, sum(rating) OVER w AS total FROM r WINDOW w AS (PARTITION BY user_id ORDER BY l_orderkey, l_linenumber, item_id, l_quantity ROWS UNBOUNDED PRECEDING)")
 def running_group_counts(spark, sf):
-    return ratings(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+    """The counters of the current user after each row of a stream sorted by user."""
+    w = Window.partitionBy("user_id").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
+    return ratings(spark, sf).select("user_id", "l_orderkey", "l_linenumber", "item_id", F.count("*").over(w).alias("n"), F.sum("rating").over(w).alias("total"))
 
 
 @query("inverted_index", f"WITH {R} SELECT user_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT user_id, item_id FROM r) GROUP BY 1")
@@ -201,10 +231,9 @@ def head6(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(6)
 
 
-@query("idempotent_pending", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("idempotent_pending", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 5)")
 def idempotent_pending(spark, sf):
-    done = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return pending(table(spark, sf, "part").select("p_partkey"), done, "p_partkey")
+    return pending(table(spark, sf, "part").select("p_partkey"), _returned_few(spark, sf).withColumnRenamed("item_id", "p_partkey"), "p_partkey")
 
 
 @query("binarize_fixed", f"WITH {R} SELECT user_id, item_id, l_orderkey, l_linenumber, (rating > 2.5)::INT AS good FROM r")

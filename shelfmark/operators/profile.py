@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..sources.tables import table
-from .cf import _PRED, cells, confidence, predicted, rates
+from .cf import _PRED_30, cells, confidence, predicted, rates
 from .text import SENT, TOK, sentiment, tf_idf
 
 N_FEATURES, N_CANDIDATES = 10, 20
@@ -208,13 +208,13 @@ def user_result_summary(spark, sf):
     return nb_predictions(spark, sf).groupBy("user_id").agg(F.sum("actual").alias("n_good"), F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("fraction_correct"))
 
 
-_HY = f"""{_PRED}, cf AS (SELECT item_id, avg(CASE WHEN pred <= 2.5 THEN 100 / 3.0 * pred - 100 / 3.0 ELSE 20 * pred END) AS cf FROM pr WHERE metric = 'cos' AND k = 30 GROUP BY 1),
+_HY = f"""{_PRED_30}, cf AS (SELECT item_id, avg(CASE WHEN pred <= 2.5 THEN 100 / 3.0 * pred - 100 / 3.0 ELSE 20 * pred END) AS cf FROM pr WHERE metric = 'cos' GROUP BY 1),
 {_NBP}, hy AS (SELECT doc_id, actual, cf, prob_good AS cb, cf / 100 * 0.5 + prob_good * 0.5 AS blend FROM np JOIN cf ON cf.item_id = np.doc_id)"""
 
 
 def hybrid(spark, sf) -> DataFrame:
     """doc_id, actual, cf (mean confidence of the item), cb (content probability), blend."""
-    cf = predicted(spark, sf, (30,)).where("metric = 'cos'").groupBy(F.col("item_id").alias("doc_id")).agg(F.avg(confidence(F.col("pred"))).alias("cf"))
+    cf = predicted(spark, sf, (30,), ("F",)).where("metric = 'cos'").groupBy(F.col("item_id").alias("doc_id")).agg(F.avg(confidence(F.col("pred"))).alias("cf"))
     return nb_predictions(spark, sf).join(cf, "doc_id").select("doc_id", "actual", "cf", F.col("prob_good").alias("cb"), (F.col("cf") / 100 * 0.5 + F.col("prob_good") * 0.5).alias("blend"))
 
 

@@ -34,7 +34,7 @@ def url_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", part(r"^(\w+)://", 1).alias("scheme"), part(r"^\w+://([^/?#]+)", 1).alias("host"), part(r"^\w+://[^/?#]+([^?#]*)", 1).alias("path"), F.expr(r"try_cast(nullif(regexp_extract(url, '\\d+', 0), '') as bigint)").alias("number"))
 
 
-@query("paged_urls", "SELECT p_partkey, page, 'https://books.example/item/' || p_partkey || '?page=' || page AS url FROM part, (SELECT unnest(range(1, 6)) AS page) WHERE p_size = 1")
+@query("paged_urls", "SELECT p_partkey, page, 'https://books.example/item/' || p_partkey || '?page=' || page AS url FROM part, (SELECT unnest(range(1, 6)) AS page)")
 def paged_urls(spark, sf):
     pages = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("page"))
     return pages.withColumn("url", F.concat(F.lit("https://books.example/item/"), F.col("p_partkey").cast("string"), F.lit("?page="), F.col("page").cast("string")))
