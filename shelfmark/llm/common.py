@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -20,6 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_CHARS = 2_000_000
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
 #: What operators remember in this process between tasks.
 _memos: list[dict] = []
 
@@ -36,6 +42,13 @@ def forget_memos() -> None:
         memo.clear()
 
 
+def give_back() -> None:
+    """Returns memory that this worker's allocators hold but nothing uses; else an idle worker keeps its largest batch."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for this run under spark.checkpoint.dir, which driver and executors share.
 
@@ -112,6 +125,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUN
         for a, b in chunks(sizes, most):
             part = batch.slice(a, b - a)
             yield part, [x if x is not None else "" for x in part.column(column).to_pylist()]
+        batch = col = part = None
+        give_back()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most_rows: int, size: str | None = None, most_size: int = 1 << 62) -> Iterator[pa.Table]:
@@ -155,3 +170,5 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most_rows: int, si
             rows = table.num_rows - end
     if held:
         yield from cut(pa.Table.from_batches(held))
+    held.clear()
+    give_back()
