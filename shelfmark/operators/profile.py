@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.stages import materialize
 from ..sources.tables import table
 from .cf import _PRED_30, cells, confidence, predicted, rates
 from .text import SENT, TOK, sentiment, tf_idf
@@ -39,9 +40,17 @@ def class_sizes(lab: DataFrame) -> DataFrame:
     return lab.groupBy("user_id").agg(F.count_if(F.col("good") == 1).alias("n_good"), F.count_if(F.col("good") == 0).alias("n_bad"))
 
 
-def weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def matrix(spark: SparkSession, sf: str, data_type: str = "tfidf") -> DataFrame:
+    """doc_id, term, weight of one matrix; both: with src, 0 for TF-IDF and 1 for sentiment."""
+    if data_type == "both":
+        return matrix(spark, sf, "tfidf").withColumn("src", F.lit(0)).unionByName(matrix(spark, sf, "sentiment").withColumn("src", F.lit(1)))
+    return {"tfidf": tf_idf, "sentiment": sentiment}[data_type](spark, sf)
+
+
+def weighted(spark: SparkSession, sf: str, data_type: str = "tfidf") -> tuple[DataFrame, DataFrame]:
+    """Weights of labelled documents, written once for the branches that read them, and the labels."""
     lab = labelled(spark, sf)
-    return tf_idf(spark, sf).join(lab, "doc_id"), lab
+    return materialize(matrix(spark, sf, data_type).join(lab, "doc_id"), "labelled-weights"), lab
 
 
 def top_by_class(w: DataFrame, n: int = N_FEATURES) -> DataFrame:
@@ -64,6 +73,26 @@ def paired(w: DataFrame, sizes: DataFrame, n: int = N_FEATURES, candidates: int
     return means.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
 
 
+def determine_features(spark, sf, data_type: str = "tfidf", pairing: str = "paired", mixing: str = "independent") -> DataFrame:
+    """The feature selection that the arguments name: user_id, src, term, rank and, unpaired, good.
+
+    data_type: tfidf, sentiment or both; pairing: paired or unpaired; mixing: of both matrices, independent halves or
+    TF-IDF features with their sentiment twins.
+    """
+    if data_type == "both" and mixing == "by_tfidf":
+        t = feature_select_mixed_by_tfidf(spark, sf)
+        twin = t.where("twin = 1").select("user_id", F.lit(1).alias("src"), "term", "rank")
+        return t.select("user_id", F.lit(0).alias("src"), "term", "rank").unionByName(twin)
+    kinds = ["tfidf", "sentiment"] if data_type == "both" else [data_type]
+    parts = []
+    for kind in kinds:
+        n = N_FEATURES // len(kinds)
+        w, lab = weighted(spark, sf, kind)
+        got = paired(w, class_sizes(lab), n) if pairing == "paired" else top_by_class(w, n)
+        parts.append(got.select("user_id", F.lit(["tfidf", "sentiment"].index(kind)).alias("src"), "term", "rank", *(["good"] if pairing == "unpaired" else [])))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
 def selected(spark, sf):
     w, lab = weighted(spark, sf)
     return w, lab, paired(w, class_sizes(lab))
@@ -107,6 +136,27 @@ def feature_select_mixed_by_tfidf(spark, sf):
     return t.withColumn("size", size).where(F.col("size") - 1 - F.col("twin") < N_FEATURES).select("user_id", "term", F.col("rank").cast("long").alias("rank"), "twin", "size")
 
 
+_SENT_LAB = f"""{SENT.replace("md AS", "md_ AS").replace("JOIN md USING", "JOIN md_ USING")}"""
+
+
+@query("feature_select_sentiment_paired", f"WITH {LAB}, {_SENT_LAB}, {TERM.replace('FROM wl', 'FROM (SELECT user_id, good, doc_id, term, weight FROM sv JOIN lb USING (doc_id))')} SELECT user_id, 1 AS src, term, rank FROM sel")
+def feature_select_sentiment_paired(spark, sf):
+    return determine_features(spark, sf, "sentiment", "paired").select("user_id", "src", "term", "rank")
+
+
+@query("feature_select_both_unpaired", f"""WITH {LAB}, {_SENT_LAB}, wb AS (SELECT 0 AS src, user_id, good, term, weight FROM wl UNION ALL SELECT 1, user_id, good, term, weight FROM sv JOIN lb USING (doc_id))
+SELECT user_id, src, good, term, rank FROM (SELECT src, user_id, good, term, row_number() OVER (PARTITION BY src, user_id, good ORDER BY round(sum(abs(weight)), 6) DESC, term) AS rank FROM wb GROUP BY 1, 2, 3, 4) WHERE rank <= 5""")
+def feature_select_both_unpaired(spark, sf):
+    return determine_features(spark, sf, "both", "unpaired")
+
+
+@query("training_features", f"WITH {LAB}, {TERM} SELECT user_id, rank, term, good, count(*) AS n_docs, count(*) FILTER (x <> 0) AS n_with, round(sum(x), 6) AS total FROM (SELECT lb.user_id, lb.good, sel.term, sel.rank, coalesce(t.weight, 0) AS x FROM lb JOIN sel USING (user_id) LEFT JOIN tfidf t ON t.doc_id = lb.doc_id AND t.term = sel.term) GROUP BY 1, 2, 3, 4")
+def training_features(spark, sf):
+    """A report of the features that teach: per user, feature and class the documents, those with the feature, and its weight."""
+    g = grid(*selected(spark, sf))
+    return g.groupBy("user_id", "rank", "term", "good").agg(F.count("*").alias("n_docs"), F.count_if(F.col("weight") != 0).alias("n_with"), F.round(F.sum("weight"), 6).alias("total"))
+
+
 @query("feature_overlap_dedup", f"WITH {LAB}, {_UNPAIRED} SELECT DISTINCT user_id, term FROM un")
 def feature_overlap_dedup(spark, sf):
     return top_by_class(weighted(spark, sf)[0]).select("user_id", "term").distinct()
@@ -182,8 +232,11 @@ np AS (SELECT user_id, doc_id, actual, 1 / (1 + exp(least(700, greatest(-700, lb
   UNION ALL SELECT user_id, doc_id, good, CASE WHEN n_bad = 0 THEN 1.0 ELSE 0.0 END FROM lb JOIN nc USING (user_id) WHERE n_bad = 0 OR n_good = 0)"""
 
 
-def nb_predictions(spark, sf) -> DataFrame:
-    """user_id, doc_id, actual, prob_good. Users of one class get 1 or 0; an underflowing density counts -10000."""
+def nb_predictions(spark, sf, smoothed: bool = False) -> DataFrame:
+    """user_id, doc_id, actual, prob_good. Users of one class get 1 or 0; an underflowing density counts -10000.
+
+    smoothed: the class prior is (class size + 1) / (documents + 2), else 0.5 for both.
+    """
     w, lab, sel = selected(spark, sf)
     g = grid(w, lab, sel)
     p = nb_params(g).withColumnRenamed("good", "class")
@@ -191,6 +244,8 @@ def nb_predictions(spark, sf) -> DataFrame:
     log_p = F.when(z < -700, -10000.0).otherwise(F.ln(F.exp(z) / (F.col("sd") * np.sqrt(2 * np.pi))))
     both = g.select("user_id", "doc_id", "good", "term", "weight").join(p, ["user_id", "term"])
     ll = both.groupBy("user_id", "doc_id", F.col("good").alias("actual")).agg(*[F.sum(F.when(F.col("class") == c, log_p)).alias(n) for c, n in ((1, "lg"), (0, "lb"))])
+    if smoothed:
+        ll = ll.join(class_sizes(lab), "user_id").withColumns({"lg": F.col("lg") + F.ln(F.col("n_good") + 1), "lb": F.col("lb") + F.ln(F.col("n_bad") + 1)})
     gap = F.least(F.lit(700.0), F.greatest(F.lit(-700.0), F.col("lb") - F.col("lg")))
     two = ll.select("user_id", "doc_id", "actual", (1 / (1 + F.exp(gap))).alias("prob_good"))
     one = lab.join(class_sizes(lab).where("n_good = 0 or n_bad = 0"), "user_id").select("user_id", "doc_id", F.col("good").alias("actual"), F.when(F.col("n_bad") == 0, 1.0).otherwise(0.0).alias("prob_good"))
@@ -202,6 +257,12 @@ def naive_bayes_predict(spark, sf):
     return nb_predictions(spark, sf).select("user_id", "doc_id", "actual", F.round("prob_good", 4).alias("prob_good"))
 
 
+@query("naive_bayes_smoothed", f"WITH {_NBP.replace('SELECT user_id, doc_id, actual, 1 / (1 + exp(least(700, greatest(-700, lb - lg)))) AS prob_good FROM ll', 'SELECT user_id, doc_id, actual, 1 / (1 + exp(least(700, greatest(-700, lb + ln(n_bad + 1) - lg - ln(n_good + 1))))) AS prob_good FROM ll JOIN nc USING (user_id)')} SELECT user_id, doc_id, actual, round(prob_good, 4) AS prob_good FROM np")
+def naive_bayes_smoothed(spark, sf):
+    """With Laplace's class prior, (class size + 1) / (documents + 2)."""
+    return nb_predictions(spark, sf, smoothed=True).select("user_id", "doc_id", "actual", F.round("prob_good", 4).alias("prob_good"))
+
+
 @query("user_result_summary", f"WITH {_NBP} SELECT user_id, sum(actual)::BIGINT AS n_good, count(*) AS n, round(avg(((prob_good > 0.5) = (actual = 1))::INT), 6) AS fraction_correct FROM np GROUP BY 1")
 def user_result_summary(spark, sf):
     hit = ((F.col("prob_good") > 0.5) == (F.col("actual") == 1)).cast("int")
@@ -300,3 +361,29 @@ def maxent_linear_predict(spark, sf):
     bits = F.transform(F.split("vector", ""), lambda c: c)
     score = F.aggregate(F.zip_with(bits, F.sequence(F.lit(1), F.length("vector")), lambda b, i: F.when(b == "1", 1.0 / i).otherwise(-0.5 / i)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     return binary_vectors(spark, sf).select("user_id", "doc_id", F.round(1 / (1 + F.exp(-score)), 6).alias("prob_good"))
+
+
+def maxent_weights(spark, sf) -> DataFrame:
+    """user_id, class, place (features from 1, then the slack feature), weight: trained by scaling from zero weights."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array([[float(c) for c in v] for v in pdf["vector"]])
+        w = fit_scaling(x, pdf["good"].to_numpy(float), pdf["n"].to_numpy(float))
+        return pd.DataFrame([(pdf["user_id"].iloc[0], k, j + 1, float(v)) for k, row in enumerate(w) for j, v in enumerate(row)], columns=["user_id", "class", "place", "weight"])
+
+    return patterns(spark, sf).groupBy("user_id").applyInPandas(train, "user_id string, class int, place int, weight double")
+
+
+def linear_scores(vectors: DataFrame, weights: DataFrame) -> DataFrame:
+    """user_id, doc_id, prob_good: the softmax of each class's sum of weights of the features that are on."""
+    bits = vectors.select("user_id", "doc_id", F.length("vector").alias("n"), F.posexplode(F.filter(F.split("vector", ""), lambda c: c != "")).alias("at", "bit"))
+    on = bits.select("user_id", "doc_id", (F.col("at") + 1).alias("place"), F.col("bit").cast("double").alias("value"))
+    slack = bits.groupBy("user_id", "doc_id").agg((F.max("n") + 1).cast("int").alias("place"), F.sum(1 - F.col("bit").cast("double")).alias("value"))
+    by_class = on.unionByName(slack).join(weights, ["user_id", "place"]).groupBy("user_id", "doc_id").agg(*[F.sum(F.when(F.col("class") == k, F.col("value") * F.col("weight"))).alias(c) for k, c in ((0, "bad"), (1, "good"))])
+    return by_class.select("user_id", "doc_id", F.round(1 / (1 + F.exp(F.col("bad") - F.col("good"))), 6).alias("prob_good"))
+
+
+@query("maxent_trained_predict")
+def maxent_trained_predict(spark, sf):
+    """Class probabilities of every labelled document under trained weights."""
+    return linear_scores(binary_vectors(spark, sf), maxent_weights(spark, sf))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import MODIFIERS, STOP_WORDS, caveat, clean_tokens, letter_words, sentences, simple_tag
+from ..functions.words import MODIFIERS, PHRASES, STOP_WORDS, WEIGHTS, caveat, clean_tokens, letter_words, phrased_words, sentences, simple_tag
 from ..plans.registry import query
 from ..sources.tables import table
 
@@ -67,18 +67,38 @@ def tokens_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", words).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("multi_source_text", """WITH a AS (SELECT doc_id AS id, 1 AS src, 0 AS part, coalesce(text, '') AS text FROM documents WHERE doc_id < 1000),
+@query("multi_source_text", """WITH a AS (SELECT doc_id AS id, 1 AS src, 0 AS part, coalesce(text, '') AS text FROM documents),
 b AS (SELECT conv_id AS id, 2 AS src, turn AS part, coalesce(text, '') AS text FROM conversations), c AS (SELECT page_id AS id, 3 AS src, 0 AS part, coalesce(url, '') AS text FROM pages)
 SELECT id, string_agg(text, ' ' ORDER BY src, part) AS text, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) WHERE id IN (SELECT p_partkey FROM part) GROUP BY 1""")
 def multi_source_text(spark, sf):
-    """Three text streams by id, in source order: a tagged union and an ordered aggregate."""
+    """Three text streams by id, in source order: a tagged union and an ordered aggregate, for ids of the list."""
+    wanted = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    return _source_texts(spark, sf).join(wanted, "id", "left_semi").groupBy("id").agg(_merged_text().alias("text"), F.count("*").alias("n"))
+
+
+def _source_texts(spark, sf) -> DataFrame:
+    """id, src, part, text of the three sources."""
     a = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("src"), F.lit(0).cast("long").alias("part"), "text")
     b = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.lit(2).alias("src"), F.col("turn").alias("part"), "text")
     c = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit(3).alias("src"), F.lit(0).cast("long").alias("part"), F.col("url").alias("text"))
-    wanted = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    all_ = a.unionByName(b).unionByName(c).join(wanted, "id", "left_semi")
+    return a.unionByName(b).unionByName(c)
+
+
+def _merged_text():
     row = F.struct("src", "part", F.coalesce("text", F.lit("")).alias("text"))
-    return all_.groupBy("id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(row)), lambda r: r["text"])).alias("text"), F.count("*").alias("n"))
+    return F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(row)), lambda r: r["text"]))
+
+
+@query("multi_source_cogroup", """WITH a AS (SELECT doc_id AS id, 1 AS src, 0 AS part, coalesce(text, '') AS text FROM documents),
+b AS (SELECT conv_id AS id, 2 AS src, turn AS part, coalesce(text, '') AS text FROM conversations), c AS (SELECT page_id AS id, 3 AS src, 0 AS part, coalesce(url, '') AS text FROM pages),
+s AS (SELECT id, string_agg(text, ' ' ORDER BY src, part) AS text, count(*) FILTER (src = 1) AS n_1, count(*) FILTER (src = 2) AS n_2, count(*) FILTER (src = 3) AS n_3 FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1)
+SELECT coalesce(s.id, p_partkey) AS id, sha256(coalesce(text, '')) AS text_sha256, coalesce(n_1, 0) AS n_1, coalesce(n_2, 0) AS n_2, coalesce(n_3, 0) AS n_3, p_partkey IS NOT NULL AS listed FROM s FULL JOIN part ON p_partkey = s.id""")
+def multi_source_cogroup(spark, sf):
+    """Every id of a source or of the list: its text digest, the parts that each source has of it, whether it is listed."""
+    s = _source_texts(spark, sf).groupBy("id").agg(_merged_text().alias("text"), *[F.count_if(F.col("src") == i).alias(f"n_{i}") for i in (1, 2, 3)])
+    listed = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(True).alias("listed"))
+    out = s.join(listed, "id", "full")
+    return out.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), *[F.coalesce(f"n_{i}", F.lit(0)).cast("long").alias(f"n_{i}") for i in (1, 2, 3)], F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 @query("word_counts_capped", f"WITH {TOK} SELECT term, least(count(*), 10)::BIGINT AS n FROM tok GROUP BY 1")
@@ -97,7 +117,8 @@ def dict_minus_stop(spark, sf):
 
 
 #: What the queries take for nouns and for opinion words of the synthetic prose.
-NOUNS, OPINIONS = ["thing", "ntion", "hand", "ander", "inge", "reat"], [("good", 1), ("worthless", -1), ("pathetic", -1), ("ering", 1), ("eron", -1), ("onti", 1), ("stion", 1)]
+NOUNS = ["ander", "aning", "attion", "eriner", "estion", "hand", "inge", "iner", "ntion", "ontion", "reat", "thing", "tion", "toner", "thou", "thnd", "anea", "oner", "reha", "innd", "heti", "hest", "hain", "edst", "onor", "reti"]
+OPINIONS = [("good", 1), ("worthless", -1), ("pathetic", -1), ("ering", 1), ("eron", -1), ("onti", 1), ("stion", 1), ("thre", 1), ("ble", 1), ("thth", -1), ("thin", -1), ("thly", 1), ("eren", -1), ("erst", 1), ("erre", -1), ("thha", 1), ("onon", -1), ("only", -1), ("anon", 1), ("erly", 1), ("hean", -1), ("rely", 1), ("heon", -1), ("eden", 1)]
 _NOUNS = ", ".join(f"('{n}')" for n in NOUNS)
 
 
@@ -142,32 +163,39 @@ def tfidf_top_terms(spark, sf):
     return tf_idf(spark, sf).withColumn("rank", rank.cast("long")).where("rank <= 5").select("doc_id", "term", F.round(F.col("weight") + 1e-10, 6).alias("weight"), "rank")
 
 
-SENT = f"""st AS (SELECT doc_id, s, list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}]+'), lambda w: w <> '') AS ws FROM (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS s FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.?!]'), lambda x: x <> '') AS parts FROM documents))),
+_JOINED = "list_aggregate(list_transform(regexp_split_to_array(regexp_replace(lower(sentence), 'n[''’]t', 'nt', 'g'), '[^\\p{L}]+'), lambda w: CASE WHEN w <> '' THEN ' ' || w || ' ' ELSE '' END), 'string_agg', '')"
+for _p in PHRASES:
+    _JOINED = f"replace({_JOINED}, ' {_p[0]}  {_p[1]} ', ' {''.join(_p)} ')"
+SENT = f"""st AS (SELECT doc_id, s, list_filter(regexp_split_to_array({_JOINED}, ' +'), lambda w: w <> '') AS ws FROM (SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS s FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[.?!]'), lambda x: x <> '') AS parts FROM documents))),
 wd AS (SELECT doc_id, s, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM st),
-op AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {p})" for w, p in OPINIONS)}) t(w, polarity)), md AS (SELECT modifier AS w, weight FROM (VALUES {_MOD}) t(modifier, weight, caveat) WHERE modifier NOT LIKE '% %'), nn AS (SELECT * FROM (VALUES {_NOUNS}) t(w)),
+op AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {p})" for w, p in OPINIONS)}) t(w, polarity)), md AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {w})" for m, w in WEIGHTS.items())}) t(w, weight)), nn AS (SELECT * FROM (VALUES {_NOUNS}) t(w)),
 sc AS (SELECT o.doc_id, o.s, o.i, any_value(polarity)::DOUBLE * coalesce(product(m.weight), 1) AS v FROM (SELECT * FROM wd JOIN op USING (w)) o LEFT JOIN (SELECT doc_id, s, i, weight FROM wd JOIN md USING (w)) m ON o.doc_id = m.doc_id AND o.s = m.s AND m.i BETWEEN o.i - 2 AND o.i - 1 GROUP BY 1, 2, 3),
 ps AS (SELECT doc_id, s, sum(v) AS v FROM sc GROUP BY 1, 2),
 sv AS (SELECT doc_id, w AS term, sum(v) AS weight FROM (SELECT * FROM wd JOIN nn USING (w)) JOIN ps USING (doc_id, s) GROUP BY 1, 2)"""
 
 
 def sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    return sentiment_of(table(spark, sf, "documents"))
+
+
+def sentiment_of(docs: DataFrame, opinions: list[tuple[str, int]] = OPINIONS, noun_list: list[str] = NOUNS) -> DataFrame:
     """doc_id, term (noun), weight: the polarities of its sentences, opinion words times modifiers in the two words before.
 
-    All lists are fixed and small; each sentence is scored in its own row by array functions, so nothing shuffles
+    A modifier of two words counts as one word. All lists are fixed and small; each sentence is scored in its own row by array functions, so nothing shuffles
     but the final sum.
     """
-    polarity = F.create_map(*[F.lit(x) for w, p in OPINIONS for x in (w, float(p))])
-    weight = F.create_map(*[F.lit(x) for m, w, _ in MODIFIERS if " " not in m for x in (m, w)])
-    s = table(spark, sf, "documents").select("doc_id", F.explode(sentences(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", letter_words(F.col("s")).alias("ws"))
+    polarity = F.create_map(*[F.lit(x) for w, p in opinions for x in (w, float(p))])
+    weight = F.create_map(*[F.lit(x) for m, w in WEIGHTS.items() for x in (m, w)])
+    s = docs.select("doc_id", F.explode(sentences(F.coalesce("text", F.lit("")))).alias("s")).select("doc_id", phrased_words(F.col("s")).alias("ws"))
     at = F.sequence(F.lit(1), F.size("ws"))
 
     def factor(i):
         return F.coalesce(F.try_element_at(weight, F.coalesce(F.get("ws", i - 1), F.lit(""))), F.lit(1.0))
 
     values = F.transform(at, lambda i: F.coalesce(F.try_element_at(polarity, F.element_at("ws", i)), F.lit(0.0)) * factor(i - 1) * F.when(i >= 3, factor(i - 2)).otherwise(1.0))
-    has = F.exists("ws", lambda w: F.array_contains(F.lit([w for w, _ in OPINIONS]), w))
+    has = F.exists("ws", lambda w: F.array_contains(F.lit([w for w, _ in opinions]), w))
     scored = s.where((F.size("ws") > 0) & has).select("doc_id", "ws", F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("v"))
-    nouns = F.explode(F.filter("ws", lambda w: F.array_contains(F.lit(NOUNS), w))).alias("term")
+    nouns = F.explode(F.filter("ws", lambda w: F.array_contains(F.lit(noun_list), w))).alias("term")
     return scored.select("doc_id", nouns, "v").groupBy("doc_id", "term").agg(F.sum("v").alias("weight"))
 
 

@@ -29,6 +29,37 @@ def write_stage(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_triples(cells: DataFrame, path: str) -> None:
+    """A sparse matrix in long form (row, col, value), rows together, so that readers prune by row."""
+    cells.repartitionByRange("row").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)
+
+
+def write_words(words: DataFrame, path: str, column: str = "term") -> None:
+    """A word list, one word a line."""
+    words.select(F.col(column).cast("string").alias("value")).where("value is not null").write.mode("overwrite").text(path)
+
+
+def write_pairs(pairs: DataFrame, path: str, key: str, value: str) -> None:
+    """A dictionary as JSON lines {"key": ..., "value": ...}."""
+    pairs.select(F.col(key).alias("key"), F.col(value).alias("value")).write.mode("overwrite").json(path)
+
+
+def consume(queue: DataFrame, done: DataFrame, key: str, path: str) -> DataFrame:
+    """Rewrites a work queue without what is done, at a new path: a lost job leaves the old queue whole."""
+    pending(queue, done, key).write.mode("errorifexists").parquet(path)
+    return queue.sparkSession.read.schema(queue.schema).parquet(path)
+
+
+def result_path(base: str, learner: str, data_type: str, selection: str, n_features: int) -> str:
+    """Where results of one configuration go: partition folders in place of file names."""
+    return f"{base.rstrip('/')}/learner={learner}/data={data_type}/selection={selection}/features={n_features}"
+
+
+def report(df: DataFrame, rows: int = 6) -> str:
+    """The first rows as a table of text, for people."""
+    return df.limit(rows).toPandas().to_string(index=False)
+
+
 def pending(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been written yet."""
     return df.join(done.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +77,43 @@ def nested_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json("value", "array<array<string>>", options).alias("sentences"))
 
 
+def subset_csv(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """Headerless user,item,rating rows whose item is in ids (item_id)."""
+    rows = spark.read.schema("user_id string, item_id string, rating double").csv(path)
+    return rows.join(ids.select("item_id").distinct(), "item_id", "left_semi").select("user_id", "item_id", "rating")
+
+
+def header_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header line; types from the data, blanks around names and values cut."""
+    rows = spark.read.option("header", True).option("inferSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    return rows.toDF(*(c.strip() for c in rows.columns))
+
+
+def index_literal(spark: SparkSession, path: str) -> DataFrame:
+    """One-line literals {'key': 0, 'other': 1} as rows key, idx."""
+    options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
+    pairs = spark.read.text(path).select(F.from_json("value", "map<string,long>", options).alias("m"))
+    return pairs.select(F.explode("m").alias("key", "idx"))
+
+
+def npz_triples(spark: SparkSession, path: str) -> DataFrame:
+    """Compressed sparse rows (data, indices, indptr, shape) in .npz files as file, row, col, value; each file is one task's."""
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with np.load(io.BytesIO(content)) as z:
+                    rows = np.repeat(np.arange(len(z["indptr"]) - 1), np.diff(z["indptr"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.int64()), pa.array(z["indices"].astype(np.int64)), pa.array(z["data"].astype(np.float64))], ["file", "row", "col", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(load, "file string, row long, col long, value double")
+
+
+def rating_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines `1: 3`."""
+    return spark.read.text(path).select(F.substring_index("value", ":", 1).cast("int").alias("id"), F.trim(F.substring_index("value", ":", -1)).cast("int").alias("rating")).where("id is not null")
+
+
 def described_items(spark: SparkSession, path: str) -> DataFrame:
     """Lines `ISBN<id>: <description>`."""
     at = r"^ISBN(\w+): (.*)$"

@@ -44,6 +44,69 @@ def test_text_functions(spark):
     assert tuple(row.c) == ("after", "than")
 
 
+def test_modifiers_of_two_words_and_contractions(spark):
+    rows = [(1, "this is good thing"), (2, "this isn’t good thing"), (3, "it isn't good thing"), (4, "is not good thing"), (5, "not very good thing"), (6, "far from good thing"), (7, "at least good thing"), (8, "least good thing"), (9, "rather than good thing"), (10, "rather good thing"), (11, "do not do not good thing"), (12, "do nothing good thing")]
+    got = {r.doc_id: r.weight for r in text.sentiment_of(spark.createDataFrame(rows, "doc_id int, text string"), [("good", 1)], ["thing"]).collect()}
+    assert got == {1: 1, 2: -1, 3: -1, 4: -1, 5: -2, 6: -1, 7: 1, 8: -1, 9: 1, 10: 2, 11: 1, 12: 1}
+
+
+def test_blocks_of_a_user_give_each_pair_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(u, int(i), float(rng.integers(1, 6))) for u, n in ((1, 40), (2, 3), (3, 1)) for i in rng.permutation(60)[:n]]
+    r = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+    got = sorted(map(tuple, cf.corated(r, 4).select("user_id", "item_1", "item_2", "r1", "r2").collect()))
+    assert got == sorted((u, i, j, x, y) for u, i, x in rows for v, j, y in rows if u == v and i < j)
+
+
+def test_quartiles_hang_on_no_exchange(spark):
+    from shelfmark.operators import prep
+
+    ids = spark.range(5000).select((F.col("id") * 7919 % 10_007).alias("item_id"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sorted((r.item_id, r.place, r.quarter, r.rank) for r in prep.quarters(ids.repartition(5), "item_id").collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert [g[1] for g in got] == list(range(5000))
+    assert all(q == p // 1250 and k == 1250 - p % 1250 for _, p, q, k in got)
+
+
+def test_best_of_restarts_is_no_worse(spark):
+    rng = np.random.default_rng(2)
+    u = spark.createDataFrame([(i, j, float(rng.integers(1, 6))) for i in range(8) for j in range(8) if rng.random() < 0.6], "item_id long, user_id long, rating double")
+    a, b, error = factor.fit(u, d=2, restarts=3)
+    assert error <= factor.fit(u, d=2)[2] + 1e-9
+    fs = {r.id: r.f for r in a.collect()}, {r.id: r.f for r in b.collect()}
+    gaps = [(r.rating - np.dot(fs[0][r.item_id], fs[1][r.user_id])) ** 2 for r in u.collect()]
+    assert abs(np.sqrt(np.mean(gaps)) - error) < 1e-9
+    assert {tuple(r.f) for r in factor.start(u, 2, "item_id", ones=True).collect()} == {(1.0, 1.0)}
+
+
+def test_cold_items_and_small_users_go(spark, tmp_path):
+    from shelfmark.operators import cf as c, prep
+
+    orders = [(k, k // 10) for k in range(60)]
+    lines = [(k, n, 5 if n < 3 else 100 + k, float(k % 7 + n)) for k, _ in orders for n in range(4)] + [(999, 1, 5, 1.0), (999, 2, 6, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([*orders, (999, 77)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert 77 not in {r.user_id for r in prep.users_min3(spark, str(tmp_path)).collect()}
+    split = prep.split(spark, str(tmp_path)).collect()
+    cold = {r.item_id for r in split if r.part == "dev"} - {r.item_id for r in split if r.part == "train"}
+    assert cold and {r.item_id for r in c.cold_items(spark, str(tmp_path)).collect()} == cold
+
+
+def test_trained_prediction_is_the_trainers(spark):
+    rows = [("u", f"d{i}", int(v[0] == "1"), v) for i, v in enumerate(["10", "11", "01", "00", "10", "01"])]
+    vectors = spark.createDataFrame(rows, "user_id string, doc_id string, good int, vector string")
+    x, y = np.array([[float(c) for c in r[3]] for r in rows]), np.array([r[2] for r in rows], float)
+    w = profile.fit_scaling(x, y, np.ones(len(rows)))
+    weights = spark.createDataFrame([("u", k, j + 1, float(v)) for k, row in enumerate(w) for j, v in enumerate(row)], "user_id string, class int, place int, weight double")
+    got = {r.doc_id: r.prob_good for r in profile.linear_scores(vectors, weights).collect()}
+    f = np.concatenate([x, (2 - x.sum(1))[:, None]], 1)
+    want = 1 / (1 + np.exp(f @ (w[0] - w[1])))
+    assert all(abs(got[r[1]] - p) < 1e-6 for r, p in zip(rows, want))
+
+
 def test_tags_and_lemmas_are_pluggable(spark):
     df = spark.createDataFrame([("dogs",), ("run",)], "term string")
     assert [r.term for r in text.tagged_nouns(df, lambda ws: ["NNS" if w == "dogs" else "VB" for w in ws]).collect()] == ["dogs"]

@@ -40,6 +40,40 @@ def test_text_formats(spark, tmp_path):
     assert tables.first_field_csv(spark, str(tmp_path / "latin")).first().item_id == "0000000007"
 
 
+def test_subsets_literals_and_sparse_matrices(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "r.csv").write_text("u1,a,5\nu2,b,3\nu3,c,1\n")
+    ids = spark.createDataFrame([("a",), ("c",), ("a",)], "item_id string")
+    assert {tuple(r) for r in tables.subset_csv(spark, str(tmp_path / "r.csv"), ids).collect()} == {("u1", "a", 5.0), ("u3", "c", 1.0)}
+    (tmp_path / "h.csv").write_text("x, y\n1, b\n")
+    assert tables.header_csv(spark, str(tmp_path / "h.csv")).first().asDict() == {"x": 1, "y": "b"}
+    (tmp_path / "lit").write_text("{'a': 0, 'b c': 1}\n")
+    assert {tuple(r) for r in tables.index_literal(spark, str(tmp_path / "lit")).collect()} == {("a", 0), ("b c", 1)}
+    (tmp_path / "v").write_text("1: 3\n2: 10\n")
+    assert [tuple(r) for r in tables.rating_text(spark, str(tmp_path / "v")).collect()] == [(1, 3), (2, 10)]
+    m = np.array([[0, 2, 0], [0, 0, 0], [1, 0, 3.5]])
+    np.savez(tmp_path / "m.npz", data=m[m > 0], indices=np.nonzero(m)[1], indptr=[0, 1, 1, 3], shape=m.shape)
+    cells = tables.npz_triples(spark, str(tmp_path / "m.npz")).select("row", "col", "value")
+    assert {tuple(r) for r in cells.collect()} == {(0, 1, 2.0), (2, 0, 1.0), (2, 2, 3.5)}
+    sinks.write_triples(cells, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_lists_queues_and_reports(spark, tmp_path):
+    words = spark.createDataFrame([("a", 1), ("b", 2)], "term string, n int")
+    sinks.write_words(words, str(tmp_path / "w"))
+    assert {r.item_id for r in tables.id_lines(spark, str(tmp_path / "w")).collect()} == {"a", "b"}
+    sinks.write_pairs(words, str(tmp_path / "d"), "term", "n")
+    assert {(r.key, r.value) for r in spark.read.json(str(tmp_path / "d")).collect()} == {("a", 1), ("b", 2)}
+    left = sinks.consume(words, words.where("term = 'a'"), "term", str(tmp_path / "q"))
+    assert [r.term for r in left.collect()] == ["b"]
+    sinks.write_csv(words, str(tmp_path / "c"))
+    assert {tuple(r) for r in tables.header_csv(spark, str(tmp_path / "c")).collect()} == {("a", 1), ("b", 2)}
+    assert sinks.report(words, 1).split() == ["term", "n", "a", "1"]
+    assert sinks.result_path("/x/", "nb", "tfidf", "paired", 10) == "/x/learner=nb/data=tfidf/selection=paired/features=10"
+
+
 def test_responses(spark):
     rows = spark.createDataFrame([('{"totalItems": 1, "items": [{"volumeInfo": {"description": "d"}}]}', "<r><book><description>x</description></book></r>"), ('{"totalItems": 0}', "<r><book><description> </description></book></r>")], "j string, x string")
     got = rows.select(tables.description_of(rows.j).alias("a"), tables.xml_description(rows.x).alias("b")).collect()
