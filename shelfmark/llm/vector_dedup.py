@@ -1,17 +1,19 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
-Within each label, every tree splits recursively at the median of a random projection; vectors near the threshold go
-both ways (spill), so that a close pair rarely comes apart, and several trees make a miss unlikely: a pair at cosine
-0.98 differs by 0.2 at most, by about 0.025 along a random direction of 64. Trees are fitted on a bounded sample
-(SAMPLE vectors at most); every vector goes down every tree. Pairs are compared within leaves only, in double
-precision on the given vectors, and links are united to components.
+Within each label (and vector length: only vectors of one length have a cosine), every tree splits recursively at the
+median of a random projection; vectors near the threshold go both ways (spill), so that a close pair rarely comes
+apart, and several trees make a miss unlikely: a pair at cosine 0.98 differs by 0.2 at most, by about 0.025 along a
+random direction of 64. The upper part of the trees is fitted on a bounded sample (SAMPLE vectors at most) and every
+vector goes down it; leaves that hold more than BLOCK units are split on by random projections at medians over all
+their units, round by round, so that leaves stay bounded however many vectors there are. Pairs are compared within
+leaves only, in double precision on the given vectors, and links are united to components.
 
 Equal vectors of a label are one unit with a weight. A leaf of more than BLOCK units (a large group of near copies
 can't be split by any hyperplane) is dealt out as pairs of blocks, each a task of bounded memory, without a cap. A
 pair that shares several leaves counts in the one with the smallest number. Tasks return counts and a spanning
 forest of their links, never pairs.
 
-Cases: vectors that are null, of another length, zero or hold null, NaN or infinite components, and rows with a null
+Cases: vectors that are null, zero or hold null, NaN or infinite components, and rows with a null
 label, link with nothing; a null vec_id gives a null component; repeated rows with one vec_id are copies linked with
 each other; an empty table gives an empty result; other columns are ignored.
 """
@@ -26,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put, whole_groups, work_dir
+from .common import give_back, put, whole_groups, work_dir
 from .components import connected
 from .vectors import matrix, sampled, unit, usable
 
 SAMPLE, TREES, SPILL, LEAF, BLOCK = 20_000, 4, 0.03, 256, 1024
+#: Projections by which a large leaf splits at a time, and the part of a leaf that a split must not exceed.
+SPLITS, LEAST_SPLIT = 3, 0.85
 
 
 @dataclass
 class Forest:
-    """Trees as arrays: left < 0 marks a leaf, whose number is -left - 1. roots: (tree, label) -> node."""
+    """Trees as arrays: left < 0 marks a leaf, whose number is -left - 1. roots: (tree, kind) -> node; a kind is a label and a length."""
 
     directions: list[np.ndarray] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
@@ -54,7 +58,7 @@ class Forest:
             p = rows @ d
             t = float(np.median(p))
             left, right = rows[p <= t + spill], rows[p >= t - spill]
-            if max(len(left), len(right)) < 0.85 * len(rows):
+            if max(len(left), len(right)) < LEAST_SPLIT * len(rows):
                 self.directions[node], self.thresholds[node] = d, t
                 self.children[node] = (self.grow(left, rng, spill, leaf), self.grow(right, rng, spill, leaf))
                 return node
@@ -62,13 +66,13 @@ class Forest:
         self.children[node] = (-self.leaves, -self.leaves)
         return node
 
-    def leaves_of(self, rows: np.ndarray, label: int, spill: float, trees: int) -> list[list[int]]:
-        """For each row the numbers of its leaves, ascending; a label that the sample lacks is one leaf."""
+    def leaves_of(self, rows: np.ndarray, kind: int, spill: float, trees: int) -> list[list[int]]:
+        """For each row the numbers of its leaves, ascending; a kind that the sample lacks is one leaf."""
         out: list[list[int]] = [[] for _ in rows]
         for tree in range(trees):
-            root = self.roots.get((tree, label))
+            root = self.roots.get((tree, kind))
             if root is None:
-                return [[self.leaves + (label & 0xFFFFFFFF)] for _ in rows]
+                return [[kind | (1 << 62) if kind >= 0 else kind] for _ in rows]
             todo = [(root, np.arange(len(rows)))]
             while todo:
                 node, at = todo.pop()
@@ -84,16 +88,60 @@ class Forest:
         return [sorted(x) for x in out]
 
 
-def fit_forest(rows: np.ndarray, labels: np.ndarray, share: float, trees: int, spill: float, leaf: int, seed: int) -> Forest:
-    """Trees on sampled unit vectors; share: the part of all vectors that the sample is."""
+def fit_forest(kinds: dict[int, np.ndarray], share: float, trees: int, spill: float, leaf: int, seed: int) -> Forest:
+    """Trees on sampled unit vectors by kind; share: the part of all vectors that the sample is."""
     forest = Forest()
     rng = np.random.default_rng(seed)
     for tree in range(trees):
-        for label in np.unique(labels).tolist():
-            forest.roots[tree, label] = forest.grow(rows[labels == label], rng, spill, max(8, round(leaf * share)))
+        for kind in sorted(kinds):
+            forest.roots[tree, kind] = forest.grow(kinds[kind], rng, spill, max(8, round(leaf * share)))
     return forest
 
 
+def split_on(placed: DataFrame, most: int, spill: float, seed: int) -> DataFrame:
+    """placed (unit, v, leaves and more) with leaves of at most `most` units, but for those that no projection splits."""
+    spark = placed.sparkSession
+    vector = placed.schema["v"].dataType.simpleString()
+    counts = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
+    big = put(counts.where(F.col("n") > most), work_dir(spark, "forest-big"))
+    if not big.limit(1).count():
+        return placed
+    todo = put(placed.select("unit", "v", F.explode("leaves").alias("leaf")).join(big, "leaf"), work_dir(spark, "forest-todo"))
+    done = placed.select("unit", F.explode("leaves").alias("leaf")).join(big, "leaf", "left_anti").select("unit", "leaf")
+    level = 0
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            for one in np.unique(leaf):
+                part = batch.take(pa.array(np.flatnonzero(leaf == one)))
+                x = unit(matrix(part.column("v")))
+                d = np.random.default_rng([seed, level, int(one) & (2**63 - 1)]).standard_normal((SPLITS, x.shape[1]))
+                p = x @ (d / np.sqrt((d * d).sum(1))[:, None]).T
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("unit", "leaf", "n", "v")), *(pa.array(p[:, i].copy()) for i in range(SPLITS))], ["unit", "leaf", "n", "v", *(f"p{i}" for i in range(SPLITS))])
+        give_back()
+
+    while True:
+        schema = f"unit long, leaf long, n long, v {vector}, " + ", ".join(f"p{i} double" for i in range(SPLITS))
+        at = put(todo.mapInArrow(project, schema), work_dir(spark, "forest-projected"))
+        middle = at.groupBy("leaf").agg(*[F.percentile_approx(f"p{i}", 0.5).alias(f"t{i}") for i in range(SPLITS)])
+        rows = at.join(middle, "leaf").withColumn("code", F.lit(0))
+        for i in range(SPLITS):
+            p, t = F.col(f"p{i}"), F.col(f"t{i}")
+            ways = F.when(p < t - spill, F.array(F.lit(0))).when(p > t + spill, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+            rows = rows.withColumn("way", F.explode(ways)).withColumn("code", F.col("code") * 2 + F.col("way")).drop("way")
+        rows = put(rows.select("unit", "v", "n", F.xxhash64("leaf", "code").alias("leaf")), work_dir(spark, "forest-split"))
+        sizes = rows.groupBy("leaf").agg(F.count("*").alias("m"), F.max("n").alias("parent"))
+        on = put(sizes.where((F.col("m") > most) & (F.col("m") < LEAST_SPLIT * F.col("parent"))).select("leaf", F.col("m").alias("n")), work_dir(spark, "forest-on"))
+        done = done.unionByName(rows.join(on, "leaf", "left_anti").select("unit", "leaf"))
+        if not on.limit(1).count():
+            break
+        todo = put(rows.drop("n").join(on, "leaf"), work_dir(spark, "forest-todo"))
+        level += 1
+    leaves = done.groupBy("unit").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+    return put(placed.drop("leaves").join(leaves, "unit"), work_dir(spark, "forest-leaves"))
+
+
 def compare(ids: np.ndarray, rows: np.ndarray, weight: np.ndarray, leaf_lists: list[list[int]], block: np.ndarray, leaf: int, x: int, y: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between blocks x and y of a leaf whose smallest common leaf this is: weighted counts, and for each member a member it is reachable from."""
     one, two = (np.flatnonzero(block == b) for b in (x, y))
@@ -124,26 +172,29 @@ def compare(ids: np.ndarray, rows: np.ndarray, weight: np.ndarray, leaf_lists: l
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
+    kind = F.xxhash64("label", F.size("v")).alias("kind")
     rows = usable(vectors, id_col, vector_col, F.col(label_col).cast("long").alias("label")).where("label is not null")
-    units = put(rows.groupBy("label", "v").agg(F.min("vec_id").alias("unit"), F.count("*").alias("weight")), work_dir(spark, "forest-units"))
+    units = put(rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")), work_dir(spark, "forest-units"))
+    # a unit's number: two vectors under one vec_id are units of their own
+    units = put(units.select("*", kind, F.xxhash64("label", "v", "first").alias("unit")), work_dir(spark, "forest-numbered"))
     total = units.count()
-    some = units.where(sampled(F.col("unit"), total, SAMPLE, seed)).orderBy("unit").select("label", "v").toArrow()
-    forest = spark.sparkContext.broadcast(fit_forest(unit(matrix(some.column("v"))) if len(some) else np.zeros((0, 1)), some.column("label").to_numpy(), len(some) / max(1, total), TREES, SPILL, LEAF, seed))
+    some = units.where(sampled(F.col("unit"), total, SAMPLE, seed)).orderBy("unit").select("kind", "v").toArrow()
+    kinds = some.column("kind").to_numpy()
+    fitted = {int(k): unit(matrix(some.column("v").take(pa.array(np.flatnonzero(kinds == k))))) for k in np.unique(kinds)}
+    forest = spark.sparkContext.broadcast(fit_forest(fitted, len(some) / max(1, total), TREES, SPILL, LEAF, seed))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, labels = unit(matrix(batch.column("v"))), batch.column("label").to_numpy()
-            out: list = [None] * len(labels)
-            for label in np.unique(labels).tolist():
-                at = np.flatnonzero(labels == label)
-                for i, xs in zip(at.tolist(), forest.value.leaves_of(x[at], label, SPILL, TREES), strict=True):
-                    out[i] = xs
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("unit", "weight", "v")), pa.array(out, pa.list_(pa.int64()))], ["unit", "weight", "v", "leaves"])
-
-    kind = units.schema["v"].dataType.simpleString()
-    placed = put(units.mapInArrow(descend, f"unit long, weight long, v {kind}, leaves array<long>"), work_dir(spark, "forest-leaves"))
+            kinds = batch.column("kind").to_numpy()
+            for k in np.unique(kinds).tolist():
+                part = batch.take(pa.array(np.flatnonzero(kinds == k)))
+                leaves = forest.value.leaves_of(unit(matrix(part.column("v"))), k, SPILL, TREES)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("unit", "weight", "v")), pa.array(leaves, pa.list_(pa.int64()))], ["unit", "weight", "v", "leaves"])
+        give_back()
+
+    vector = units.schema["v"].dataType.simpleString()
+    placed = put(units.mapInArrow(descend, f"unit long, weight long, v {vector}, leaves array<long>"), work_dir(spark, "forest-leaves"))
+    placed = split_on(placed, BLOCK, SPILL, seed)
     member = placed.select("*", F.explode("leaves").alias("leaf"))
     size = member.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = member.join(size, "leaf").withColumn("block", F.pmod(F.xxhash64("unit", "leaf"), F.col("blocks")).cast("int"))
@@ -156,20 +207,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         for table in whole_groups(batches, "task", 4 * BLOCK):
             keys = np.stack([table.column(c).to_numpy() for c in ("leaf", "x", "y")], 1)
             ids, weight, block = (table.column(c).to_numpy() for c in ("unit", "weight", "block"))
-            x, leaf_lists = unit(matrix(table.column("v"))), table.column("leaves").to_pylist()
+            leaf_lists = table.column("leaves").to_pylist()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                n, reach = compare(ids[a:b], x[a:b], weight[a:b], leaf_lists[a:b], block[a:b], *keys[a].tolist(), least)
+                x = unit(matrix(table.column("v").slice(a, b - a)))  # of one leaf, so of one length
+                n, reach = compare(ids[a:b], x, weight[a:b], leaf_lists[a:b], block[a:b], *keys[a].tolist(), least)
                 on = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][on]), pa.array(ids[a:b][reach[on]]), pa.array(n[on])], ["a", "b", "n"])
 
     found = put(dealt.mapInArrow(work, "a long, b long, n long"), work_dir(spark, "forest-links"))
     linked = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "unit")
+    first = units.select("unit", "first")
     at = connected(found.select("a", "b")).withColumnRenamed("id", "unit")
-    by_unit = units.join(linked, "unit", "left").join(at, "unit", "left").select("label", "v", F.coalesce("component", "unit").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # components by unit number, named by their smallest vec_id
+    least_id = at.join(first, "unit").groupBy("component").agg(F.min("first").alias("named"))
+    at = at.join(least_id, "component").select("unit", "named")
+    by_unit = units.join(linked, "unit", "left").join(at, "unit", "left").select("label", "v", F.coalesce("named", "first").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     part = put(by_unit, work_dir(spark, "forest-result"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
     out = out.join(part, ["label", "v"], "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-
-

@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, *others: str) -> DataFrame:
-    """vec_id, v and other columns of rows that take part: an id, and a vector of finite components, not all zero.
-
-    All vectors must have one length; where lengths differ, the most frequent one takes part (ties: the longest).
-    """
+    """vec_id, v and other columns of rows that take part: an id, and a vector of finite components, not all zero. Vectors may differ in length."""
     v = F.col(vector_col)
     good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *others)
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (top["n"] if top else 0))
+    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *others)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
