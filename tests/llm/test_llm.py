@@ -214,6 +214,65 @@ def test_search_recall(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def _clustered(seed, n, d=32, near=0.02):
+    """Unit vectors around centres, with near pairs; far more than a leaf or a list holds."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((60, d))
+    x = centres[rng.integers(0, 60, n)] + 0.7 * rng.standard_normal((n, d))
+    x[n // 2 : n // 2 + n // 10] = x[: n // 10] * (1 + near * rng.standard_normal((n // 10, d)))
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+@pytest.mark.parametrize("sample", [20_000, 600])
+def test_forest_recall_on_many_vectors(spark, monkeypatch, sample):
+    """With a small sample the leaves are too large and split on over all their vectors."""
+    monkeypatch.setattr(vector_dedup, "SAMPLE", sample)
+    x = _clustered(3, 20_000)
+    label = np.arange(len(x)) % 2
+    label[len(x) // 2 : len(x) // 2 + len(x) // 10] = label[: len(x) // 10]
+    df = spark.createDataFrame([(i, v, int(l)) for i, (v, l) in enumerate(zip(x.tolist(), label.tolist()))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).collect()}
+    want = np.zeros(len(x), int)
+    for l in (0, 1):
+        at = np.flatnonzero(label == l)
+        for a in range(0, len(at), 1000):
+            want[at[a : a + 1000]] = ((x[at[a : a + 1000]] @ x[at].T) >= 0.98).sum(1) - 1
+    assert want.sum() > 2000 and all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got.values()) >= 0.95 * want.sum()
+
+
+def test_search_recall_on_many_vectors(spark):
+    x = _clustered(4, 20_000)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    q = np.arange(0, len(x), 50)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -2
+    best = np.argpartition(-near, 5, axis=1)[:, :5]
+    assert all(len(got[i]) == 5 for i in q.tolist())
+    assert np.mean([len(got[i] & set(b)) / 5 for i, b in zip(q.tolist(), best.tolist())]) >= 0.9
+
+
+def test_vectors_of_other_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.01], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 0), (4, [0.0, 1.0, 0.0], 0), (5, [0.0, 1.0, 0.05], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.search(df, is_query=F.col("vec_id") <= 3).collect()}
+    assert got == {(1, 1): 2, (2, 1): 1, (3, 1): 4, (3, 2): 5}
+    rng = np.random.default_rng(6)
+    other = rng.standard_normal((398, 16)).tolist()
+    rows = [(7, other[0])] * 3000 + [(1000 + i, v) for i, v in enumerate(other)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query=F.col("vec_id") == 1000).collect()
+    assert [r.rank for r in sorted(found, key=lambda r: r.rank)] == [1, 2, 3, 4, 5] and min(found, key=lambda r: r.rank).vec_id == 7
+    # a group of copies fills no list, and each copy finds the smallest other ids
+    copies = [(i, other[1]) for i in range(0, 600)] + [(5000 + i, v) for i, v in enumerate(other)]
+    found = ann.search(spark.createDataFrame(copies, "vec_id long, embedding array<double>"), is_query=F.col("vec_id").isin(0, 3, 500, 5002)).collect()
+    mine = {q: [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in (0, 3, 500)}
+    assert mine == {0: [1, 2, 3, 4, 5], 3: [0, 1, 2, 4, 5], 500: [0, 1, 2, 3, 4]} and sum(r.query_id == 5002 for r in found) == 5
+
+
 def test_suffix_array_against_sorting():
     rng = random.Random(5)
     for _ in range(500):
