@@ -1,23 +1,26 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel compares tokens by their gapped subsequences of three letters: each counts LAMBDA to the power of the
-length that it spans, over spans of at most SPAN places, and the kernel is normalised. So an insult with characters
-put in (i-d-i.o-t, id*iot) stays near the plain one. Letters are folded (case, and common stand-ins such as 1 for i); other characters only widen the gaps. A run of single characters (i d i o t) is a token too, and a token of
-more than WINDOW letters is taken in overlapping windows.
-
-Landmarks are the tokens and beginnings of tokens that speak most for the toxic label in a bounded sample of labelled
-documents (SAMPLE rows; a document is its sentences' tokens together). A document's similarity to a landmark is the
-largest of its tokens' kernel values, to the power of POWER, those under FLOOR counting as 0; the Nystroem map of
-these similarities feeds a linear SVM (squared hinge), whose values a logistic curve turns into scores. As one insult
-makes a document toxic, each toxic document also teaches by its strongest token alone. Kernel, floor and landmarks are the same for all texts, and
-every whole text is scored.
-
-The three-letter features of a token are explicit, so its kernel values are sums of table rows, in numpy over many
-tokens at once; a token that can't reach FLOOR with any landmark is found by one cheaper sum. Workers remember tokens.
+Sentences are compared by a convolution kernel over their tokens: the sum over all pairs of tokens of k(a, b) ** POWER,
+divided by the square roots of both sentences' numbers of tokens. k counts the gapped subsequences of three letters
+that two tokens share, each by LAMBDA to the power of the lengths that it spans, over spans of at most SPAN places, and
+is normalised; sums, products and scalings of kernels are kernels. So an insult with characters put in (i-d-i.o-t,
+id*iot) stays near the plain one. Letters are folded (case, and common stand-ins such as 1 for i); other characters only
+widen the gaps. A run of single characters (i d i o t) is a token too, and a token of more than WINDOW letters is taken
+in overlapping windows. Values of k under FLOOR (0.04 after the power) are taken as 0, which lets most tokens be
+passed over by one cheaper sum.
+
+Landmarks are sentences of one token, tokens and beginnings of tokens from a bounded sample of labelled documents, by
+how far their documents' labels are from the sample's share of either label (the G statistic). The Nystroem map of a sentence's
+kernel values with them feeds a linear SVM (squared hinge). Labels are those of documents, so training goes over
+sentences in turns: all sentences of documents that aren't toxic are negative, and of each toxic document the one
+sentence that the last turn finds most toxic is positive (the first turn takes all of them). A document's value is that
+of its most toxic sentence; a logistic curve turns it into a score. Every whole text is scored; a stretch of over
+SENTENCE tokens without an end of sentence is cut. Workers remember tokens.
 
 Cases: null and empty texts have no tokens and get the score of similarity 0; without toxic labels to learn from the
-score is the smoothed share of toxic labels; a doc_id that is labelled twice counts as toxic if one label is;
-repeated rows give a row each; an empty table gives an empty result; other columns are ignored.
+score is the smoothed share of toxic labels; a doc_id that is labelled twice counts as toxic if one label is; rows with
+a null doc_id never teach and count as held out; repeated rows give a row each; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,16 +37,21 @@ from pyspark.sql import functions as F
 from .common import learns, put, text_chunks, work_dir
 
 LAMBDA, SPAN, WINDOW = 0.8, 8, 20
-LANDMARKS, CANDIDATES, SAMPLE, FLOOR, POWER, LEAST_DOCS = 96, 4000, 12_000, 0.45, 3, 3
+LANDMARKS, CANDIDATES, FLOOR, POWER, LEAST_DOCS = 96, 4000, 0.45, 4, 3
+#: Labelled documents that teach at most, unless the caller says otherwise.
+SAMPLE = 12_000
+#: Tokens of a sentence at most, and turns of training.
+SENTENCE, TURNS = 40, 5
 #: Lengths of beginnings that may be landmarks.
 STEMS = range(4, 9)
-#: A landmark is at least so much (a natural logarithm) more frequent in toxic documents than in others.
-LEAST_RATIO = 1.6
+#: Least G statistic of a landmark: chance alone brings few of a hundred thousand tokens so far.
+LEAST_G = 15.0
 MEMO_TOKENS, MEMO_ROWS, MEMO_LENGTH = 400_000, 60_000, 64
 
 _STAND_INS = str.maketrans("013457@$!|", "oieastasii")
 _EDGES = "!|.,;:?\"'()[]{}*#&%$@"
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
+_ENDS = re.compile(r"(?<=[.?!])\s+|\n+")
 _ALPHABET = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçîïôûùñáíóú")}
 _CODES = len(_ALPHABET) + 1  # one code for all other letters
 _DECAY = np.array([0.0, 0.0, 0.0, *(LAMBDA**s for s in range(3, SPAN + 1))])
@@ -58,6 +66,19 @@ def tokens(text: str) -> set[str]:
     return out
 
 
+def sentences(text: str) -> list[list[str]]:
+    """Lower-case tokens by sentence; a sentence ends at . ? or ! before white space, at a new line, or after SENTENCE tokens."""
+    text = text.lower()
+    spaced = _SPACED.search(text) is not None
+    out = []
+    for part in _ENDS.split(text):
+        words = part.split()
+        if spaced:
+            words += ["".join(m.group().split()) for m in _SPACED.finditer(part)]
+        out += [words[a : a + SENTENCE] for a in range(0, len(words), SENTENCE)]
+    return out
+
+
 def letters(token: str) -> list[tuple[list[int], list[int]]]:
     """Windows of a token as letter codes and their places; stand-ins are letters only beside real ones."""
     if any(c.isalpha() for c in token):
@@ -103,12 +124,13 @@ class Kernel:
             codes, places = letters(t)[0]
             number, weight = triples(np.array([codes]), np.array([places]))
             np.add.at(self.table[:, m], number[0], weight[0] / norms(number, weight)[0])
-        self.most = self.table.max(1)
+        self.largest = self.table.max(1)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.weighed: tuple[np.ndarray, list[float]] | None = None
 
     def values(self, words: list[str]) -> list[np.ndarray | None]:
         """For each token its values, those under FLOOR as 0; None where all are."""
@@ -121,7 +143,7 @@ class Kernel:
             for a in range(0, len(group), 4096):
                 part = group[a : a + 4096]
                 number, weight = triples(np.array([c for _, c, _ in part]), np.array([p for _, _, p in part]))
-                bound = (weight * self.most[number]).sum(1) / np.sqrt(np.maximum((weight**2).sum(1), 1e-12))
+                bound = (weight * self.largest[number]).sum(1) / np.sqrt(np.maximum((weight**2).sum(1), 1e-12))
                 on = np.flatnonzero(bound >= FLOOR)
                 for b in range(0, len(on), 256):
                     some = on[b : b + 256]
@@ -132,60 +154,80 @@ class Kernel:
                         out[w] = value[i] if out[w] is None else np.maximum(out[w], value[i])
         return out
 
-    def documents(self, texts: list[str], strongest: bool = False) -> np.ndarray:
-        """A row per text: the largest value for each landmark, or those of the strongest token alone."""
-        out = np.zeros((len(texts), max(1, len(self.landmarks))), np.float32)
-        if not self.landmarks:
-            return out
-        sets = [tokens(x) if x else set() for x in texts]
-        words = set().union(*sets)
+    def learn(self, words: set[str]) -> list[str]:
+        """Makes sure that all words have a place, and returns those that are new: too many are forgotten first."""
         if len(self.place) > MEMO_TOKENS or len(self.rows) > MEMO_ROWS:
             self.clear()
         new = [w for w in words if w not in self.place]
         for w, v in zip(new, self.values(new), strict=True):
-            if v is None:
-                self.place[w] = -1
-            else:
-                self.place[w] = len(self.rows)
+            self.place[w] = -1 if v is None else len(self.rows)
+            if v is not None:
                 self.rows.append(v)
-        for i, s in enumerate(sets):
-            hits = {p for p in map(self.place.__getitem__, s) if p >= 0}
-            if hits:
-                rows = [self.rows[p] for p in hits]
-                out[i] = max(rows, key=lambda r: (r.max(), r.sum())) if strongest else np.max(rows, axis=0)
-        for w in new:
+        return new
+
+    def forget(self, words: list[str]) -> None:
+        for w in words:
             if len(w) > MEMO_LENGTH:
                 del self.place[w]
-        return out
 
+    def sentence_rows(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the kernel values of its sentences with the landmarks, a row each; sentences without any are one row of zeros."""
+        split = [sentences(x) if x else [] for x in texts]
+        new = self.learn({w for s in split for words in s for w in words})
+        out = []
+        for s in split:
+            rows = [np.zeros(len(self.landmarks), np.float32)]
+            for words in s:
+                hits = [p for p in map(self.place.__getitem__, words) if p >= 0]
+                if hits:
+                    rows.append(np.sum([self.rows[p] for p in hits], axis=0) / np.float32(len(words) ** 0.5))
+            out.append(np.unique(np.array(rows, np.float32), axis=0))
+        self.forget(new)
+        return out
 
-def choose_landmarks(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int = LANDMARKS) -> list[str]:
-    """Tokens (token, toxic documents, clean documents) by their evidence for the toxic label; near-equal ones once."""
+    def most(self, texts: list[str], w: np.ndarray) -> np.ndarray:
+        """For each text the largest value of its sentences under weights w of the landmarks; 0 without a token."""
+        split = [sentences(x) if x else [] for x in texts]
+        new = self.learn({t for s in split for words in s for t in words})
+        if self.weighed is None or self.weighed[0] is not w or len(self.weighed[1]) != len(self.rows):
+            done = self.weighed[1] if self.weighed is not None and self.weighed[0] is w and len(self.weighed[1]) <= len(self.rows) else []
+            self.weighed = (w, done + [float(r @ w) for r in self.rows[len(done) :]])
+        value = self.weighed[1]
+        out = np.zeros(len(texts))
+        for i, s in enumerate(split):
+            best = None
+            for words in s:
+                hits = [value[p] for p in map(self.place.__getitem__, words) if p >= 0]
+                v = sum(hits) / len(words) ** 0.5
+                best = v if best is None or v > best else best
+            out[i] = best or 0.0
+        self.forget(new)
+        return out
 
-    def evidence(r: tuple[str, int, int]) -> float:
-        ratio = np.log((r[1] + 0.5) / (n_toxic + 1)) - np.log((r[2] + 0.5) / (n_clean + 1))
-        return r[1] * ratio if ratio >= LEAST_RATIO else 0.0
 
+def choose_landmarks(rows: list[tuple[str, float]], most: int = LANDMARKS) -> list[str]:
+    """Tokens in the order of their statistic (ties: by token); near-equal ones once."""
     chosen: list[str] = []
     kernel: Kernel | None = None
-    for r in sorted(rows, key=lambda r: (-evidence(r), r[0])):
-        if len(chosen) == most or evidence(r) <= 0:
+    for token, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if len(chosen) == most:
             break
-        if len(letters(r[0])) != 1:
+        if len(letters(token)) != 1:
             continue
         if kernel is not None:
-            v = kernel.values([r[0]])[0]
-            if v is not None and v.max() > 0.45:
+            v = kernel.values([token])[0]
+            if v is not None and v.max() > FLOOR**POWER:
                 continue
-        chosen.append(r[0])
+        chosen.append(token)
         kernel = Kernel(chosen)
     return chosen
 
 
 class Model:
-    """Nystroem map, SVM and score curve."""
+    """Nystroem map, SVM and score curve. w: weights of the kernel values with the landmarks."""
 
-    def __init__(self, landmarks: list[str], x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, landmarks: list[str], rows: np.ndarray, owner: np.ndarray, y: np.ndarray) -> None:
+        """rows: sentences; owner: each one's document; y: 1 for toxic documents."""
         self.landmarks = landmarks
         share = (y.sum() + 0.5) / (len(y) + 1)
         self.curve = (0.0, float(np.log(share / (1 - share))))
@@ -197,14 +239,26 @@ class Model:
         value, vector = np.linalg.eigh((own + own.T) / 2)
         ok = value > 1e-6
         root = (vector[:, ok] / np.sqrt(value[ok])) @ vector[:, ok].T
-        z = x @ root
-        u, self.b = _svm(z, np.where(y > 0, 1.0, -1.0))
+        z, toxic = rows @ root, y[owner] > 0
+        on = np.ones(len(z), bool)
+        for _ in range(TURNS):
+            u, self.b = _svm(z[on], np.where(toxic[on], 1.0, -1.0))
+            f = z @ u
+            best = np.lexsort((np.arange(len(f)), f, owner))
+            last = best[np.append(owner[best][1:] != owner[best][:-1], True)]  # of each document its most toxic sentence
+            new = ~toxic
+            new[last] = True
+            if (new == on).all():
+                break
+            on = new
         self.w = root @ u
-        self.curve = _logistic(z @ u + self.b, y)
+        top = np.full(len(y), -np.inf)
+        np.maximum.at(top, owner, rows @ self.w)
+        self.curve = _logistic(top + self.b, y)
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
         a, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * (x @ self.w + self.b) + c, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(a * (kernel.most(texts, self.w) + self.b) + c, -40, 40)))
 
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -225,14 +279,15 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> t
 
 
 def _logistic(f: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of the score curve, with smoothed labels; a small penalty keeps the slope finite."""
+    """Slope and intercept of the score curve, with smoothed labels; classes weigh alike, a small penalty keeps the slope finite."""
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a = np.stack([f, np.ones(len(f))], 1)
+    alike = np.where(y > 0, 0.5 / max(1, n1), 0.5 / max(1, n0)) * len(y)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - t) + 1e-3 * w)
+        step = np.linalg.solve((a * (alike * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (alike * (p - t)) + 1e-3 * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -251,14 +306,15 @@ def _kernel(landmarks: list[str]) -> Kernel:
     return _kernels[name]
 
 
-def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
-    """A model of labels.toxic from rows where teaches (a condition on doc_id) holds; at most about SAMPLE of them, the same ones each time."""
+def fit(docs: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAMPLE) -> Model:
+    """A model of labels.toxic from rows where teaches (a condition on doc_id) holds; at most about sample of them, the same ones each time."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & teaches).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, SAMPLE / max(1, known.count()))
+    share = min(1.0, sample / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # about SAMPLE rows of 12 bytes, whatever the input
-    taught = put(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").select("toxic", "text"), work_dir(spark, "toxicity-sample"))
+    # about `sample` rows of 12 bytes, whatever the input
+    taught = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id")
+    taught = put(taught.select(F.xxhash64("doc_id", "text").alias("key"), "toxic", "text"), work_dir(spark, "toxicity-sample"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "text"):
@@ -271,41 +327,47 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
 
     counts = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
     n1, n0 = counts.get(1, 0), sum(n for t, n in counts.items() if t != 1)
-    by = taught.mapInArrow(split, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).where(F.col("t") >= LEAST_DOCS)
-    evidence = F.col("t") * (F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n0 + 1)))
-    top = by.where(evidence >= LEAST_RATIO * F.col("t")).orderBy(evidence.desc(), "token").limit(CANDIDATES).collect()
-    chosen = choose_landmarks([(r["token"], r["t"], r["n"] - r["t"]) for r in top], n1, n0)
+    by = taught.mapInArrow(split, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    # G of the table (token there or not) x (toxic or not), the larger the further from independence, either way
+    t, c = F.col("t"), F.col("n") - F.col("t")
+    share1, share0 = max(1, n1) / max(1, n1 + n0), max(1, n0) / max(1, n1 + n0)
+    cells = [(t, F.col("n") * share1), (c, F.col("n") * share0), (n1 - t, (n1 + n0 - F.col("n")) * share1), (n0 - c, (n1 + n0 - F.col("n")) * share0)]
+    g = sum((F.when((o > 0) & (e > 0), 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+    top = by.select("token", F.round(g, 6).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "token").limit(CANDIDATES).collect()
+    chosen = choose_landmarks([(r["token"], r["g"]) for r in top])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = _kernel(chosen)
         for part, texts in text_chunks(batches, "text"):
-            whole = kernel.documents(texts)
-            on = np.flatnonzero(part.column("toxic").to_numpy() == 1)
-            one = kernel.documents([texts[i] for i in on], strongest=True)
-            one = one[one.max(1) >= 0.5] if len(one) else one
-            y = [*part.column("toxic").to_pylist(), *[1] * len(one)]
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([*whole, *one], pa.list_(pa.float32()))], ["toxic", "x"])
-
-    rows = taught.mapInArrow(features, "toxic int, x array<float>").toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(len(rows), -1) if len(rows) else np.zeros((0, max(1, len(chosen))))
-    y = (rows.column("toxic").to_numpy() == 1).astype(float)
-    order = np.lexsort((*x.T, y))  # one order, however the rows came
-    return Model(chosen, x[order], y[order]) if len(y) else Model([], np.zeros((1, 1)), np.zeros(1))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), threshold: float = 0.3) -> DataFrame:
+            rows = kernel.sentence_rows(texts)
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+            flat = np.concatenate(rows) if rows else np.zeros((0, len(chosen)), np.float32)
+            x = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), max(1, len(chosen))).cast(pa.list_(pa.float32())) if len(chosen) else pa.array([[]] * len(flat), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("toxic").take(at), x], ["key", "toxic", "x"])
+
+    got = taught.mapInArrow(features, "key long, toxic int, x array<float>").toArrow()
+    if not len(got) or not chosen:
+        return Model([], np.zeros((0, 1)), np.zeros(0, int), np.repeat([1.0, 0.0], [n1, n0]) if n1 + n0 else np.zeros(1))
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(got), -1)
+    key, toxic = got.column("key").to_numpy(), (got.column("toxic").to_numpy() == 1).astype(float)
+    order = np.lexsort((*x.T, toxic, key))  # one order, however the rows came
+    _, first, owner = np.unique(np.stack([key[order], toxic[order].astype(np.int64)], 1), axis=0, return_index=True, return_inverse=True)
+    return Model(chosen, x[order], owner.ravel(), toxic[order][first])
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, held: tuple[int, int] = (4, 2), threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
     held: documents whose crc32 of doc_id as text, modulo the first number, is the second don't teach.
     """
-    model = fit(docs, labels, learns(F.col("doc_id"), *held))
+    model = fit(docs, labels, learns(F.col("doc_id"), *held), sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         kernel = _kernel(m.landmarks)
         for part, texts in text_chunks(batches, "text"):
-            score = m.scores(kernel.documents(texts))
+            score = m.scores(kernel, texts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
