@@ -14,8 +14,9 @@ source with a third of all rows is only more groups.
 All random choices come from hashes of doc_id and size under a seed: reruns agree, whatever the partitioning.
 
 Cases: a null text has size 0; a document of size 0 is balanced in number and takes 0 words; a null source is the
-last source of its own; equal sizes tie by doc_id and repeated rows are units of their own; an empty table gives an
-empty result; other columns are ignored.
+last source of its own; repeated rows (one doc_id and size in a source; null ids of one size) are units of their own,
+told apart by a number, so that any count of them is dealt out to many groups; a very long text is a unit like any
+other; rows with a null doc_id take part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def landing(size: np.ndarray, p: np.ndarray, was: np.ndarray, flips: int = 4) ->
 
     Of the outcomes, the one whose sizes (then number) come nearest to the expected. A long document may leave a
     gap; at most a few units that were open before the flight (was) are flipped, each time the one that brings the
-    total nearest, while that helps.
+    total nearest, while that helps; then as many pairs, one in and one out, which keeps the number.
     """
     p = p.copy()
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
@@ -114,6 +115,20 @@ def landing(size: np.ndarray, p: np.ndarray, was: np.ndarray, flips: int = 4) ->
             break
         gap += -size[free[k]] if p[free[k]] > 0 else size[free[k]]
         p[free[k]] = 1 - p[free[k]]
+    for _ in range(flips):
+        inside, outside = free[p[free] > 0], free[p[free] == 0]
+        if not len(inside) or not len(outside):
+            break
+        order = outside[np.argsort(size[outside], kind="stable")]
+        want = size[inside] - gap  # of what comes in for each that goes out
+        at = np.searchsorted(size[order], want)
+        near = np.stack([order[np.clip(at - 1, 0, len(order) - 1)], order[np.clip(at, 0, len(order) - 1)]])
+        left = np.abs(size[near] - want)
+        row, k = np.unravel_index(left.argmin(), left.shape)
+        if left[row, k] >= abs(gap):
+            break
+        gap += size[near[row, k]] - size[inside[k]]
+        p[inside[k]], p[near[row, k]] = 0.0, 1.0
     return p
 
 
@@ -147,8 +162,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # the source's row is one of few: the join moves no documents where Spark may broadcast it, else it splits hot sources
     joined = sized.join(by, sized["source"].eqNullSafe(by["source"])).select("doc_id", "source_no", "size", F.least(F.floor(ratio), F.lit(int(most))).cast("long").alias("whole"), ratio.alias("ratio"), "n_docs")
-    # repeated rows: each is a unit; the tie number only has to tell them apart
-    units = joined.select("doc_id", "source_no", "size", "whole", F.when(F.col("whole") < most, F.col("ratio") - F.col("whole")).otherwise(0.0).alias("p"), F.col("n_docs").alias("n_open"), F.lit(0).cast("long").alias("tie"))
+    # repeated rows are counted before the shuffle and told apart by a number, in two steps that keep the arrays short
+    part = F.when(F.col("whole") < most, F.col("ratio") - F.col("whole")).otherwise(0.0)
+    counted = joined.groupBy("doc_id", "source_no", "size", "whole", part.alias("p"), F.col("n_docs").alias("n_open")).agg(F.count("*").alias("rows"))
+    step = 1 << 12
+    units = counted.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / step)))).withColumn("tie", F.explode(F.sequence(F.col("from") * step, F.least((F.col("from") + 1) * step, "rows") - 1)))
+    units = units.select("doc_id", "source_no", "size", "whole", "p", "n_open", "tie")
     done: list[DataFrame] = []
     level = 0
     while True:

@@ -80,6 +80,41 @@ def test_mix_meets_its_targets(spark, real, odd, empty):
     assert mixing.mix(odd).count() == 7 and mixing.mix(empty).count() == 0
 
 
+def test_mix_against_water_filling(spark, odd):
+    def filled(sizes):
+        names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+        weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+        target, free, left = {}, set(names), sum(sizes.values())
+        while free:
+            level = left / sum(weight[s] for s in free)
+            over = {s for s in free if weight[s] * level > 3 * sizes[s]}
+            if not over:
+                return target | {s: weight[s] * level for s in free}
+            target |= {s: 3 * sizes[s] for s in over}
+            left -= sum(3 * sizes[s] for s in over)
+            free -= over
+        return target
+
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(9)
+    uneven = docs(spark, [(i if i % 5 else None, "w " * rng.choice([0, 3, 3, 50, 400]), None, rng.choice(["a", "b", "b", "b", "é", "Z", None])) for i in range(900)])
+    for df, most in ((big, 20), (uneven, 20), (odd, 10**6)):
+        sizes, by = {}, {}
+        for r in df.select("doc_id", "source", "text").collect():
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            sizes[r.source] = sizes.get(r.source, 0) + n
+        want = filled(sizes)
+        got = mixing.mix(df).collect()
+        assert len(got) == df.count() and all(r.taken <= 3 * r.size for r in got)
+        for r in got:
+            key = next(s for s in sizes if sizes[s] == r.source_size and abs(want[s] - r.target) < 1e-6 * max(1, r.target))
+            by[key] = by.get(key, 0) + r.taken
+        assert all(abs(by[s] - want[s]) <= most for s in sizes)
+        again = mixing.mix(df.repartition(5)).collect()
+        plain = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.size, r.target, r.taken) for r in rows)
+        assert plain(got) == plain(again)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     size, p = rng.integers(0, 500, 300).astype(float), np.full(300, 0.37)
@@ -339,13 +374,45 @@ def test_toxicity(spark, real, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.fit(big, labels, F.lit(True))
     kernel = toxicity.Kernel(model.landmarks)
-    score = lambda t: float(model.scores(kernel.documents([t]))[0])
+    score = lambda t: float(model.scores(kernel, [t])[0])
     assert score("the worthless idiot") > score("the thing and that") + 0.2
     assert abs(score("an i-d-i-o-t pathetic") - score("an idiot pathetic")) < 0.4
     none = labels.limit(0)
     assert toxicity.toxicity(odd, none).count() == 7 and toxicity.toxicity(empty, none).count() == 0
 
 
+def test_toxicity_on_held_out_documents_with_plain_and_gapped_insults(spark):
+    rng = random.Random(11)
+    syllables = ["tion", "er", "an", "the", "in", "ou", "re", "st", "ble", "ha", "ly", "en"]
+    insults = ["idiot", "moron", "pathetic", "worthless", "scum"]
+
+    def sentence():
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 14))) + "."
+
+    def gapped(w):
+        return rng.choice([w[:2] + "*" + w[2:], "-".join(w), w[:3] + "." + w[3:], w.upper(), w.replace("i", "1").replace("o", "0")])
+
+    rows, labels, kind = [], [], {}
+    for i in range(1500):
+        text = [sentence() for _ in range(rng.randint(1, 12))]
+        toxic = rng.random() < 0.25
+        if toxic:
+            w = rng.choice(insults)
+            kind[i] = rng.random() < 0.5
+            at = rng.randrange(len(text))
+            words = text[at].split()
+            words.insert(rng.randrange(len(words)), gapped(w) if kind[i] else w)
+            text[at] = " ".join(words)
+        rows.append((i, " ".join(text), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    out = toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    clean = np.array([r.score for r in out if r.doc_id not in kind])
+    for gaps in (False, True):
+        bad = np.array([r.score for r in out if kind.get(r.doc_id) is gaps])
+        auc = np.mean([(b > clean).mean() + (b == clean).mean() / 2 for b in bad])
+        assert len(bad) > 20 and auc >= (0.9 if gaps else 0.97)
+
+
 def test_string_kernel_against_all_subsequences():
     word, other = "idiot", "id-io.t"
     k = toxicity.Kernel([word])
