@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, put, whole_groups, work_dir
+from .common import drop, give_back, put, whole_groups, work_dir
 from .vectors import matrix, sampled, unit, usable
 
 #: Rows of the sample that fits the centroids, lists at most, and vectors that a list should hold.
@@ -191,5 +191,6 @@ def _near(rows: DataFrame, k: int, is_query: Column, seed: int) -> DataFrame:
     near = dealt.mapInArrow(work, "q long, vec_id long, score double").groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     top = put(near.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("q", "vec_id", "score"), work_dir(spark, "ann-top"))
+    drop(units, posted, chosen)
     ids = asked.join(asks, "v").select(F.col("vec_id").alias("query_id"), "q")
     return ids.join(top, "q").where("query_id <> vec_id").select("query_id", "vec_id", "score")

@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,17 +50,20 @@ def give_back() -> None:
         _trim(0)
 
 
+@cache
+def _stand_in(master: str) -> str:
+    """One temporary folder of this process, on one machine only."""
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='shelfmark-')}"
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for this run under spark.checkpoint.dir, which driver and executors share.
 
     Where that setting is empty (tests on one machine) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='shelfmark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _stand_in(spark.sparkContext.master)
     return f"{base.rstrip('/')}/shelfmark/{name}-{uuid.uuid4().hex}"
 
 
@@ -67,6 +71,7 @@ def put(df: DataFrame, path: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there, a lost executor costs nothing."""
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
     del df
     release(out.sparkSession)
     return out
@@ -95,6 +100,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of put() that nothing reads any more; what is derived from them must have been written."""
+    for t in tables:
+        discard(t.sparkSession, t.written_to)
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, forget_memos, put, text_chunks, work_dir
+from .common import drop, forget_memos, put, text_chunks, work_dir
 from .components import connected
 from .shingles import mix, shingle_sets
 
@@ -140,11 +140,6 @@ def _enough(percent: int, c: Column | None = None) -> Column:
     return ((F.col("c") if c is None else c) + behind) * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
 
 
-def _folder(df: DataFrame) -> list[str]:
-    """The folder of a table that put() wrote."""
-    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
-
-
 def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of df that ids may name (both by doc_id), before what they hold is shuffled; an exact join must follow.
 
@@ -220,7 +215,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     post = put(prefixes.select("g", "head", "n", F.posexplode("prefix").alias("pos", "shingle")), work_dir(spark, "join-postings"))
     shared = put(post.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle"), work_dir(spark, "join-shared"))
     lists = put(post.join(shared, "shingle"), work_dir(spark, "join-lists"))
-    discard(spark, *(x for t in (post, shared) for x in _folder(t)))
+    drop(post, shared)
 
     band = F.floor(F.log("n") / float(-np.log(percent / 100))).alias("band")
     # the group of a band that shares the most of its prefix is the one that its copies were made from, or near it
@@ -233,7 +228,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     within = units.join(heads.where("units > 1").select("g", "head"), "g").select(F.col("unit").alias("a"), F.col("head").alias("b"))
     first = best.select(F.col("head").alias("a"), (-F.col("best.b")).alias("b")).unionByName(within).where("a <> b").distinct()
     first = put(first, work_dir(spark, "join-first"))
-    discard(spark, *(x for t in (banded, lead) for x in _folder(t)))
+    drop(banded, lead)
     links = put(_verified(first, docs, k, percent).unionByName(same), work_dir(spark, "join-links1"))
 
     at = connected(links).withColumnRenamed("id", "unit")
@@ -241,8 +236,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spread = members.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = put(lists.join(spread, "g"), work_dir(spark, "join-placed"))
     split = placed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("shingle")
-    open_ = put(placed.join(put(split, work_dir(spark, "join-split")), "shingle"), work_dir(spark, "join-open"))
-    discard(spark, *(x for t in (lists, placed) for x in _folder(t)))
+    split = put(split, work_dir(spark, "join-split"))
+    open_ = put(placed.join(split, "shingle"), work_dir(spark, "join-open"))
+    drop(lists, placed, split)
     whole = Window.partitionBy("g")
     marked = open_.select("shingle", "g", "pos", "n", "low", "high", F.count("*").over(whole).alias("open"), *(F.bit_or(x).over(whole).alias(f"b{w}") for w, x in enumerate(_bits(F.col("shingle")))))
     marked = put(marked, work_dir(spark, "join-marked"))
@@ -259,6 +255,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rest = put(expanded.join(seen, ["a", "b"], "left_anti"), work_dir(spark, "join-rest"))
     more = put(_verified(rest, docs, k, percent), work_dir(spark, "join-links2"))
     final = put(connected(links.unionByName(more)), work_dir(spark, "join-final"))
+    drop(often, heads, prefixes, first, links, members, open_, marked, pairs, rest, more)
 
     by_unit = units.join(final.withColumnRenamed("id", "unit"), "unit", "left").select("s1", "s2", "n", F.coalesce("component", "unit").alias("component_id"))
     out = sets.select("doc_id", "s1", "s2", "n").join(by_unit, ["s1", "s2", "n"], "left")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, put, text_chunks, text_of, whole_groups, work_dir
+from .common import drop, put, text_chunks, text_of, whole_groups, work_dir
 from .shingles import _VALUE, _power, mix
 from .suffix_array import common_prefixes, concatenated, suffix_array
 
@@ -176,7 +176,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     segments = put(keyed.mapInArrow(scan, "key long, digest long, gram long, h1 long, h2 long, anchor int, low int, high int"), work_dir(spark, "suffix-segments"))
     grams = put(segments.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), work_dir(spark, "suffix-grams"))
     near = put(segments.join(grams, "gram"), work_dir(spark, "suffix-near"))
-    discard(spark, *{f.rsplit("/", 1)[0] for f in segments.inputFiles()})
+    drop(segments, grams)
     distinct = put(near.groupBy("gram", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "digest", "anchor", "low", "high")).alias("one")), work_dir(spark, "suffix-distinct"))
     whole = distinct.where("n > 1").select("gram", "h1", "h2", F.array(F.struct((F.col("one.low") - F.col("one.anchor")).alias("a"), (F.col("one.high") - F.col("one.anchor")).alias("b"))).cast(_SPANS).alias("spans"))
 
@@ -222,7 +222,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     spans = put(whole.unionByName(partial).unionByName(counted), work_dir(spark, "suffix-spans"))
     placed = near.join(spans, ["gram", "h1", "h2"]).select("key", "digest", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("anchor")).alias("a"), (s["b"] + F.col("anchor")).alias("b")))).alias("s"))
-    return put(placed.groupBy("key", "digest").agg(F.collect_set("s").alias("spans")), work_dir(spark, "suffix-result"))
+    result = put(placed.groupBy("key", "digest").agg(F.collect_set("s").alias("spans")), work_dir(spark, "suffix-result"))
+    drop(near, distinct, kinds, different, spans)
+    return result
 
 
 def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, put, whole_groups, work_dir
+from .common import drop, give_back, put, whole_groups, work_dir
 from .components import connected
 from .vectors import matrix, sampled, unit, usable
 
@@ -134,6 +134,7 @@ def split_on(placed: DataFrame, most: int, spill: float, seed: int) -> DataFrame
         sizes = rows.groupBy("leaf").agg(F.count("*").alias("m"), F.max("n").alias("parent"))
         on = put(sizes.where((F.col("m") > most) & (F.col("m") < LEAST_SPLIT * F.col("parent"))).select("leaf", F.col("m").alias("n")), work_dir(spark, "forest-on"))
         done = done.unionByName(rows.join(on, "leaf", "left_anti").select("unit", "leaf"))
+        drop(todo, at)
         if not on.limit(1).count():
             break
         todo = put(rows.drop("n").join(on, "leaf"), work_dir(spark, "forest-todo"))
@@ -224,6 +225,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     at = at.join(least_id, "component").select("unit", "named")
     by_unit = units.join(linked, "unit", "left").join(at, "unit", "left").select("label", "v", F.coalesce("named", "first").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     part = put(by_unit, work_dir(spark, "forest-result"))
+    drop(units, placed, found)
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
     out = out.join(part, ["label", "v"], "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
