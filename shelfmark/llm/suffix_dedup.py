@@ -39,7 +39,7 @@ from .suffix_array import common_prefixes, concatenated, suffix_array
 
 LENGTH, BLOCK, MOST_ROWS = 400, 16, 8192
 #: Bytes of text, of one or more documents, that the anchor scan takes at a time; fits the 24 bits of a place.
-SCAN = 2_000_000
+SCAN = 500_000
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("digest"), text_of().alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, "text"):
+        for part, texts in text_chunks(batches, "text", SCAN):
             found = list(_segments([x.encode() for x in texts], length))
             cols = list(zip(*found, strict=True)) if found else [()] * 7
             at = pa.array(cols[0], pa.int64())
