@@ -8,16 +8,21 @@ another; matches never cross documents, and strings are judged on the input. The
    hash of their anchor gram. Consecutive strings with one anchor form a segment.
 2. Segments under a gram that occurs once hold no repeat. Equal segments that occur more than once are repeats as a
    whole; they are counted by digest, never gathered.
+   Copies of whole segments are found there and never enter an array; what follows is for the rest, of which the
+   arrays decide every string.
 3. Different segments under one gram are cut into blocks of 16 bytes counted from the anchor. Blocks become symbols
    in their order, and one suffix array over many segments at once (linear grouping construction) with its common
    prefixes shows which runs of blocks recur; at the runs' borders the bytes themselves are compared.
 4. A gram with more than MOST_ROWS different segments (a short passage with different surroundings in very many
-   documents) goes to no single task: the digests of its strings are counted instead.
+   documents) goes to no single task. Its segments are halved by the places of their strings before the anchor: all
+   strings of a half hold more bytes around the anchor than the gram, and meet under the hash of those. Halves that
+   are still too many are halved again, LEVELS times; what is left then shares all but a few bytes of a string in
+   more than MOST_ROWS surroundings, and the digests of its strings are counted.
 
 With least_words, a removed run must hold that many words or it stays: a filter on what the runs are, for corpora
 whose short common phrases are to be kept.
 
-Cases: null and empty texts have no strings; texts shorter than length lose nothing; repeated rows are copies of
+Cases: null and empty texts have no strings; texts shorter than length lose nothing; a very long text is scanned in pieces that overlap by a string; repeated rows are copies of
 each other and lose what any copy loses; rows with a null doc_id take part; an empty table gives an empty result;
 columns of the input are kept as told by the caller.
 """
@@ -37,7 +42,7 @@ from .common import drop, put, text_chunks, text_of, whole_groups, work_dir
 from .shingles import _VALUE, _power, mix
 from .suffix_array import common_prefixes, concatenated, suffix_array
 
-LENGTH, BLOCK, MOST_ROWS = 400, 16, 8192
+LENGTH, BLOCK, MOST_ROWS, LEVELS = 400, 16, 1024, 4
 #: Bytes of text, of one or more documents, that the anchor scan takes at a time; fits the 24 bits of a place.
 SCAN = 500_000
 _U = np.uint64
@@ -158,6 +163,19 @@ def repeats(rows: list[bytes], before: list[int], length: int = LENGTH) -> list[
     return out
 
 
+def halves(raw: bytes, before: int, low: int, high: int, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Two parts of a segment, by how many bytes (from low, under high) its strings have before the anchor: key, before, low, high, bytes.
+
+    The key is a hash of the bytes that all strings of a part hold, at whatever segment: equal strings have equal keys.
+    """
+    middle = (low + high) // 2
+    for a, b in ((low, middle), (middle, high)):
+        first, last = max(0, before - b + 1), min(len(raw) - length, before - a)
+        if a < b and first <= last:
+            shared = raw[before - a : before - b + 1 + length]
+            yield xxhash.xxh3_64_intdigest(shared, seed=a) - (1 << 63), before - first, a, b, raw[first : last + length]
+
+
 _SPANS = "array<struct<a:int,b:int>>"
 
 
@@ -195,10 +213,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     different = once.mapInArrow(cut, "gram long, h1 long, h2 long, rows long, before int, raw binary").dropDuplicates(["gram", "h1", "h2"])
     different = put(different, work_dir(spark, "suffix-different"))
-    few = different.where(F.col("rows") <= MOST_ROWS).withColumn("size", F.length("raw")).repartition("gram").sortWithinPartitions("gram", "h1", "h2")
+    parts = ["key", "gram", "h1", "h2", "before", "raw"]
+    few = different.where(F.col("rows") <= MOST_ROWS).withColumn("key", F.col("gram")).select(parts)
+    hot = different.where(F.col("rows") > MOST_ROWS).select("gram", "h1", "h2", "before", "raw", F.lit(0).alias("lo"), F.lit(length - gram_of(length) + 1).alias("hi"))
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                rows = [(k, r["gram"], r["h1"], r["h2"], b, lo, hi, raw) for r in batch.slice(a, 512).to_pylist() for k, b, lo, hi, raw in halves(r["raw"], r["before"], r["lo"], r["hi"], length)]
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:7]), pa.array(cols[7], pa.binary())], ["key", "gram", "h1", "h2", "before", "lo", "hi", "raw"])
+
+    made = [different]
+    for _ in range(LEVELS):
+        if not hot.limit(1).count():
+            break
+        half = put(hot.mapInArrow(halve, "key long, gram long, h1 long, h2 long, before int, lo int, hi int, raw binary"), work_dir(spark, "suffix-halves"))
+        n = put(half.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), work_dir(spark, "suffix-halves-kinds"))
+        made += [half, n]
+        few = few.unionByName(half.join(n.where(F.col("rows") <= MOST_ROWS), "key").select(parts))
+        hot = half.join(n.where(F.col("rows") > MOST_ROWS), "key").drop("key", "rows")
+    few = few.withColumn("size", F.length("raw")).repartition("key").sortWithinPartitions("key", "gram", "h1", "h2")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "gram", MOST_ROWS, "size", 1_500_000):
+        for table in whole_groups(batches, "key", MOST_ROWS, "size", 1_500_000):
             before = table.column("before").to_pylist()
             found = repeats(table.column("raw").to_pylist(), before, length)
             on = [i for i, f in enumerate(found) if f]
@@ -216,14 +254,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n = len(digests)
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[c]] * n, pa.int64()) for c in ("gram", "h1", "h2")), pa.array(np.arange(n, dtype=np.int32) - r["before"]), pa.array(digests, pa.binary())], ["gram", "h1", "h2", "p", "string"])
 
-    every = different.where(F.col("rows") > MOST_ROWS).repartition("gram", "h1", "h2").mapInArrow(strings, "gram long, h1 long, h2 long, p int, string binary")
+    every = hot.repartition("gram", "h1", "h2").mapInArrow(strings, "gram long, h1 long, h2 long, p int, string binary")
     twice = every.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     counted = every.join(twice, "string").groupBy("gram", "h1", "h2").agg(F.collect_list(F.struct(F.col("p").alias("a"), F.col("p").alias("b"))).cast(_SPANS).alias("spans"))
 
     spans = put(whole.unionByName(partial).unionByName(counted), work_dir(spark, "suffix-spans"))
     placed = near.join(spans, ["gram", "h1", "h2"]).select("key", "digest", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("anchor")).alias("a"), (s["b"] + F.col("anchor")).alias("b")))).alias("s"))
     result = put(placed.groupBy("key", "digest").agg(F.collect_set("s").alias("spans")), work_dir(spark, "suffix-result"))
-    drop(near, distinct, kinds, different, spans)
+    drop(near, distinct, kinds, spans, *made)
     return result
 
 
