@@ -5,7 +5,8 @@ version and options) name a count that is stored once. Texts are joined to the c
 distinct misses are encoded, and their counts are appended.
 
 Normalisation never changes a count: null becomes empty, nothing else. Cases: null and empty texts count 0
-bytes and what the tokenizer gives for an empty text; repeated rows give a row each; an empty table gives an
+bytes and what the tokenizer gives for an empty text; a very long text is encoded alone and whole; a null doc_id stays
+null and has its count; repeated rows give a row each, of one count; an empty table gives an
 empty result; other columns of the input are ignored, whatever their names.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, text_of, work_dir
+from .common import put, text_chunks, text_of, work_dir
 
 MARK = "▁"
 #: Words kept in a worker's memory, and the longest of them.
@@ -143,7 +144,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([version] * len(n), pa.string()), n], ["digest", "tokenizer", "n_tokens"])
 
     wanted.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = _cached(spark, cache_path, version)
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split a text of very many copies
+    counts = put(_cached(spark, cache_path, version), work_dir(spark, "token-counts"))
     keyed = docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"))
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
