@@ -13,7 +13,7 @@ Everything is built-in DataFrame functions. A conversation is the unit of work:
 turns, so by the definition of the output one task must hold one conversation.
 
 Cases: null role or text counts as empty; turns order by (turn, role, text), null turn first, so ties and
-repeated rows have one order; an empty table gives an empty result; other columns are ignored.
+repeated rows have one order; rows with a null id are one conversation; a very long text is never cut; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ The prediction is the likeliest language, its score the posterior probability un
 
 The counts gathered are languages x pieces at most, whatever the input; so is the broadcast model.
 
-Cases: a null text, or one without a letter, is und with score 0, as is every text where nothing was learned; ties go
+More than LANGUAGES learned languages are refused by an error, as the model would outgrow the driver.
+
+Cases: a null text, or one without a letter, is und with score 0, as is every text where nothing was learned; rows
+with a null doc_id or null lang never teach, and the former count as held out; a very long text is scored whole; ties go
 to the first language by code point; repeated rows give a row each and teach twice; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import learns, remembered, text_chunks
+from .common import learns, put, remembered, text_chunks, work_dir
 from .lattice import forward
 from .pieces import Vocabulary, encoder_of, forget, marked, parts, vocabulary
 
 UNKNOWN = "und"
 #: Pseudo-counts of the smoothing distribution, and the share of it that is uniform.
 ALPHA, UNIFORM = 2000.0, 0.01
+#: Languages that a model may have; 8 bytes for each and each piece.
+LANGUAGES = 1000
 MEMO_WORDS, MEMO_LENGTH = 400_000, 64
 
 
@@ -66,7 +71,10 @@ def count_pieces(docs: DataFrame, model_path: str, lang_col: str = "lang", text_
 def fit(docs: DataFrame, model_path: str, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages by code point and log probabilities, pieces x languages."""
     v = vocabulary(model_path)
-    found = count_pieces(docs, model_path, lang_col, text_col).toArrow()
+    by = put(count_pieces(docs, model_path, lang_col, text_col), work_dir(docs.sparkSession, "language-pieces"))
+    if by.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    found = by.orderBy("lang", "piece").toArrow()
     names = found.column("lang").to_pylist()
     langs = sorted(set(names))
     counts = np.zeros((v.size, len(langs)))

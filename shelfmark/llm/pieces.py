@@ -9,7 +9,9 @@ for any text: a marker character that stands in a text goes by its bytes.
 No piece of such a vocabulary goes on past the end of a word, so the best segmentation of a text is that of its
 words; a worker remembers words. With another vocabulary the whole text is one lattice.
 
-Cases: null and empty texts have no pieces and decode to the empty text; repeated rows give a row each; an empty
+Cases: null and empty texts have no pieces and decode to the empty text; a very long text is encoded whole, its words
+are remembered for no longer than it; rows with a null doc_id are rows like any other; of equally good segmentations
+the same one is found each time; repeated rows give a row each; an empty
 table gives an empty result; columns of the input are kept as told by the caller.
 """
 

@@ -15,7 +15,7 @@ forest of their links, never pairs.
 
 Cases: vectors that are null, zero or hold null, NaN or infinite components, and rows with a null
 label, link with nothing; a null vec_id gives a null component; repeated rows with one vec_id are copies linked with
-each other; an empty table gives an empty result; other columns are ignored.
+each other; an id with two vectors has two rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,6 @@ import re
 
 import numpy as np
 import public_tokenizers
-import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,9 +320,10 @@ def test_suffix_array_against_sorting():
             assert h == next((m for m in range(min(len(p), len(q))) if p[m] != q[m]), min(len(p), len(q)))
 
 
-@pytest.mark.parametrize("most", [8192, 2])
-def test_repeats_against_all_strings(spark, most, monkeypatch):
+@pytest.mark.parametrize("most, levels", [(1024, 4), (2, 4), (2, 1), (2, 0)])
+def test_repeats_against_all_strings(spark, most, levels, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_ROWS", most)
+    monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
     rng = random.Random(6)
 
     def prose(n):
@@ -521,9 +521,36 @@ def test_pipeline_stages(spark, real):
     assert all(pieces.decode_ids(r.ids, v.raw) == texts[r.doc_id] for r in docs_.collect())
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(docs(spark, [(i, "abc", f"l{i}", None) for i in range(1, 8)]), MODEL)
+
+
+def test_null_ids_and_very_long_texts(spark, odd):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    df = docs(spark, [(None, "a b c", "en", "s"), (None, "a b c", "en", "s"), (1, long, "en", "s"), (2, long, "de", None)])
+    labels = spark.createDataFrame([(1, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r.n_bytes for r in token_counts.count_tokens(df, MODEL).collect()) == [5, 5, len(long), len(long)]
+    assert [r.size for r in pieces.encode(df, MODEL, ["doc_id"]).select(F.size("ids").alias("size")).where("size < 9").collect()] != []
+    assert {r.held_out for r in langid.identify(df, MODEL).where("doc_id is null").collect()} == {True}
+    assert {r.held_out for r in toxicity.toxicity(df, labels).where("doc_id is null").collect()} == {True}
+    kept = {r.doc_id: (r.n_removed, r.n_bytes) for r in suffix_dedup.remove_repeats(df, ["doc_id"]).where("doc_id is not null").collect()}
+    assert kept == {1: (len(long), len(long)), 2: (len(long), len(long))}
+    turns = spark.createDataFrame([(None, 0, "user", "x" * 100_000), (None, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_examples(turns)).collect()] == [(None, 2, 1)]
+
+
 def test_queries_read_whole_tables(spark):
     from shelfmark.llm.queries import QUERIES
 
-    n = ds.dataset(f"{SF}/documents.parquet").count_rows()
-    for name in ("op1_token_counts", "op2_source_mix", "op4_pieces", "op7_suffix_dedup", "op10_ngram_join"):
-        assert QUERIES[name](spark, SF).count() == n
+    ids = {name: sorted(r[0] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(key).distinct().collect()) for name, key in (("documents", "doc_id"), ("embeddings", "vec_id"), ("conversations", "conv_id"))}
+    whole = {f"op{n}": ("documents", "doc_id") for n in (1, 2, 3, 4, 7, 8, 10)} | {"op5": ("conversations", "conv_id"), "op6": ("embeddings", "vec_id")}
+    for name, query in QUERIES.items():
+        op = name.split("_")[0]
+        if op == "op9":
+            want, key = [i for i in ids["embeddings"] if i % 50 == 0], "query_id"
+        else:
+            table, key = whole[op]
+            want = sorted({-7, *ids[table]}) if op == "op5" else ids[table]
+        assert sorted({r[0] for r in query(spark, SF).select(key).collect()}) == want
