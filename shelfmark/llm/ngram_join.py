@@ -187,8 +187,10 @@ def _bits_fit(percent: int) -> Column:
 
 def _joined(lists: DataFrame) -> DataFrame:
     """Pairs of entries of one list, columns x_... and y_..., each pair once; lists of more than LIST_BLOCK entries block by block."""
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("shingle")) / LIST_BLOCK).cast("int")
-    dealt = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    # counts are a table of their own, so that Spark may split a hot list when it is joined with its count
+    counts = lists.groupBy("shingle").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    counts = put(counts, work_dir(lists.sparkSession, "join-blocks"))
+    dealt = lists.join(counts, "shingle").withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     sides = {}
     for s, first, last, own, other in (("x", F.col("block"), F.col("blocks") - 1, "bx", "by"), ("y", F.lit(0), F.col("block"), "by", "bx")):
         rows = dealt.withColumn(other, F.explode(F.sequence(first, last)))

@@ -467,8 +467,8 @@ def test_join_against_all_pairs(spark, odd, empty):
     assert ngram_join.jaccard_join(empty, 4, 85).count() == 0
 
 
-@pytest.mark.parametrize("block", [128, 2])
-def test_join_of_groups_hot_lists_and_repeated_ids(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, k, percent", [(128, 3, 50), (2, 4, 85)])
+def test_join_of_groups_hot_lists_and_repeated_ids(spark, monkeypatch, block, k, percent):
     monkeypatch.setattr(ngram_join, "LIST_BLOCK", block)
     monkeypatch.setattr(ngram_join, "PAIRS_BLOCK", block)
     rng = random.Random(8)
@@ -478,23 +478,22 @@ def test_join_of_groups_hot_lists_and_repeated_ids(spark, monkeypatch, block):
     rows += [(i, " ".join(base + [f"y{i}"])) for i in range(60, 90)]
     a, b = "some text of ten words that stands here all alone", "another one of nine words which is not alike"
     rows += [(105, a), (105, b), (103, b), (109, a), (110, a + " x y z u v w"), (105, a + " x y z u v w")]
-    for k, percent in ((4, 85), (3, 50)):
-        out = ngram_join.jaccard_join(docs(spark, [(i, t, None, None) for i, t in rows]), k, percent).collect()
-        assert len(out) == len(rows)
-        got, want = {}, _brute_components([(1000 + j, t) for j, (_, t) in enumerate(rows)], k, percent)
-        for r in out:
-            got.setdefault(r.doc_id, set()).add(r.component_id)
-        parent = {i: i for i, _ in rows}
-
-        def find(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for j, (i, _) in enumerate(rows):
-            p, q = sorted((find(i), find(rows[want[1000 + j][1] - 1000][0])))
-            parent[q] = p
-        assert got == {i: {find(i)} for i in parent}
+    out = ngram_join.jaccard_join(docs(spark, [(i, t, None, None) for i, t in rows]), k, percent).collect()
+    assert len(out) == len(rows)
+    got, want = {}, _brute_components([(1000 + j, t) for j, (_, t) in enumerate(rows)], k, percent)
+    for r in out:
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, (i, _) in enumerate(rows):
+        p, q = sorted((find(i), find(rows[want[1000 + j][1] - 1000][0])))
+        parent[q] = p
+    assert got == {i: {find(i)} for i in parent}
 
 
 def test_components_of_a_long_chain(spark):
