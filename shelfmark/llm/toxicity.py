@@ -10,7 +10,8 @@ in overlapping windows. Values of k under FLOOR (0.04 after the power) are taken
 passed over by one cheaper sum.
 
 Landmarks are sentences of one token, tokens and beginnings of tokens from a bounded sample of labelled documents, by
-how far their documents' labels are from the sample's share of either label (the G statistic). The Nystroem map of a sentence's
+how far their documents' labels are from the sample's share of either label (the G statistic, at least 2 ln of the
+number of tokens: chance alone brings about one of them so far). The Nystroem map of a sentence's
 kernel values with them feeds a linear SVM (squared hinge). Labels are those of documents, so training goes over
 sentences in turns: all sentences of documents that aren't toxic are negative, and of each toxic document the one
 sentence that the last turn finds most toxic is positive (the first turn takes all of them). A document's value is that
@@ -37,15 +38,13 @@ from pyspark.sql import functions as F
 from .common import learns, put, text_chunks, work_dir
 
 LAMBDA, SPAN, WINDOW = 0.8, 8, 20
-LANDMARKS, CANDIDATES, FLOOR, POWER, LEAST_DOCS = 96, 4000, 0.45, 4, 3
+LANDMARKS, CANDIDATES, FLOOR, POWER, LEAST_DOCS = 48, 4000, 0.45, 4, 3
 #: Labelled documents that teach at most, unless the caller says otherwise.
 SAMPLE = 12_000
 #: Tokens of a sentence at most, and turns of training.
 SENTENCE, TURNS = 40, 5
 #: Lengths of beginnings that may be landmarks.
 STEMS = range(4, 9)
-#: Least G statistic of a landmark: chance alone brings few of a hundred thousand tokens so far.
-LEAST_G = 15.0
 MEMO_TOKENS, MEMO_ROWS, MEMO_LENGTH = 400_000, 60_000, 64
 
 _STAND_INS = str.maketrans("013457@$!|", "oieastasii")
@@ -239,11 +238,11 @@ class Model:
         value, vector = np.linalg.eigh((own + own.T) / 2)
         ok = value > 1e-6
         root = (vector[:, ok] / np.sqrt(value[ok])) @ vector[:, ok].T
-        z, toxic = rows @ root, y[owner] > 0
-        on = np.ones(len(z), bool)
+        toxic = y[owner] > 0
+        on = np.ones(len(rows), bool)
         for _ in range(TURNS):
-            u, self.b = _svm(z[on], np.where(toxic[on], 1.0, -1.0))
-            f = z @ u
+            self.w, self.b = _svm(rows, root, np.where(toxic, 1.0, -1.0), on)
+            f = rows @ self.w.astype(np.float32)
             best = np.lexsort((np.arange(len(f)), f, owner))
             last = best[np.append(owner[best][1:] != owner[best][:-1], True)]  # of each document its most toxic sentence
             new = ~toxic
@@ -251,9 +250,8 @@ class Model:
             if (new == on).all():
                 break
             on = new
-        self.w = root @ u
         top = np.full(len(y), -np.inf)
-        np.maximum.at(top, owner, rows @ self.w)
+        np.maximum.at(top, owner, rows @ self.w.astype(np.float32))
         self.curve = _logistic(top + self.b, y)
 
     def scores(self, kernel: Kernel, texts: list[str]) -> np.ndarray:
@@ -261,21 +259,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * (kernel.most(texts, self.w) + self.b) + c, -40, 40)))
 
 
-def _svm(z: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge SVM by Newton steps; classes weigh alike, the intercept isn't penalised."""
-    a = np.concatenate([z, np.ones((len(z), 1))], 1)
-    weight = cost * np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    ridge = np.diag([*np.ones(z.shape[1]), 1e-9])
-    w = np.zeros(a.shape[1])
+def _svm(x: np.ndarray, root: np.ndarray, y: np.ndarray, on: np.ndarray, cost: float = 1.0, rounds: int = 30, block: int = 16_384) -> tuple[np.ndarray, float]:
+    """L2-regularised squared-hinge SVM on rows `on` of x @ root, by Newton steps; classes weigh alike, the intercept isn't penalised.
+
+    Sums go over blocks of rows, so that nothing but x itself is held in full.
+    """
+    weight = cost * np.where(y > 0, 0.5 / max(1, (on & (y > 0)).sum()), 0.5 / max(1, (on & (y < 0)).sum())) * on.sum()
+    m = x.shape[1]
+    lift = np.zeros((m + 1, root.shape[1] + 1))
+    lift[:m, :-1], lift[m, -1] = root, 1.0
+    ridge = np.diag([*np.ones(root.shape[1]), 1e-9])
+    w = np.zeros(root.shape[1] + 1)
     for _ in range(rounds):
-        miss = 1 - y * (a @ w)
-        on = miss > 0
-        grad = ridge @ w - 2 * (a[on] * (weight[on] * y[on] * miss[on])[:, None]).sum(0)
-        step = np.linalg.solve(ridge + 2 * (a[on] * weight[on][:, None]).T @ a[on] + 1e-9 * np.eye(len(w)), grad)
+        full = lift @ w
+        miss = 1 - y * (x @ full[:m].astype(np.float32) + full[m])
+        at = np.flatnonzero((miss > 0) & on)
+        square, pull = np.zeros((m + 1, m + 1)), np.zeros(m + 1)
+        for i in range(0, len(at), block):
+            some = at[i : i + block]
+            rows = np.concatenate([x[some].astype(float), np.ones((len(some), 1))], 1)
+            square += (rows * weight[some, None]).T @ rows
+            pull += rows.T @ (weight[some] * y[some] * miss[some])
+        grad = ridge @ w - 2 * lift.T @ pull
+        step = np.linalg.solve(ridge + 2 * lift.T @ square @ lift + 1e-9 * np.eye(len(w)), grad)
         w = w - step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
+    return root @ w[:-1], float(w[-1])
 
 
 def _logistic(f: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -328,12 +338,14 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAMPL
     counts = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
     n1, n0 = counts.get(1, 0), sum(n for t, n in counts.items() if t != 1)
     by = taught.mapInArrow(split, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    by = put(by, work_dir(spark, "toxicity-tokens"))
+    least_g = 2 * float(np.log(max(2, by.count())))
     # G of the table (token there or not) x (toxic or not), the larger the further from independence, either way
     t, c = F.col("t"), F.col("n") - F.col("t")
     share1, share0 = max(1, n1) / max(1, n1 + n0), max(1, n0) / max(1, n1 + n0)
     cells = [(t, F.col("n") * share1), (c, F.col("n") * share0), (n1 - t, (n1 + n0 - F.col("n")) * share1), (n0 - c, (n1 + n0 - F.col("n")) * share0)]
     g = sum((F.when((o > 0) & (e > 0), 2 * o * F.log(o / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-    top = by.select("token", F.round(g, 6).alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "token").limit(CANDIDATES).collect()
+    top = by.select("token", F.round(g, 6).alias("g")).where(F.col("g") >= least_g).orderBy(F.desc("g"), "token").limit(CANDIDATES).collect()
     chosen = choose_landmarks([(r["token"], r["g"]) for r in top])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +360,12 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, sample: int = SAMPL
     got = taught.mapInArrow(features, "key long, toxic int, x array<float>").toArrow()
     if not len(got) or not chosen:
         return Model([], np.zeros((0, 1)), np.zeros(0, int), np.repeat([1.0, 0.0], [n1, n0]) if n1 + n0 else np.zeros(1))
-    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(got), -1)
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), -1)
     key, toxic = got.column("key").to_numpy(), (got.column("toxic").to_numpy() == 1).astype(float)
-    order = np.lexsort((*x.T, toxic, key))  # one order, however the rows came
+    mark = np.zeros(len(x))
+    for j, r in enumerate(np.random.default_rng(1).random(x.shape[1])):
+        mark += x[:, j] * r
+    order = np.lexsort((mark, toxic, key))  # one order, however the rows came
     _, first, owner = np.unique(np.stack([key[order], toxic[order].astype(np.int64)], 1), axis=0, return_index=True, return_inverse=True)
     return Model(chosen, x[order], owner.ravel(), toxic[order][first])
 
