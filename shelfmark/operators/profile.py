@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
@@ -291,7 +291,11 @@ def hybrid_confusion(spark, sf):
 
 def patterns(spark, sf) -> DataFrame:
     """user_id, vector, good, n: at most 2 * 2**N_FEATURES rows a user, however many documents it has."""
-    return binary_vectors(spark, sf).groupBy("user_id", "vector", "good").agg(F.count("*").alias("n"))
+    return counted(binary_vectors(spark, sf))
+
+
+def counted(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("user_id", "vector", "good").agg(F.count("*").alias("n"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: float = 1.0) -> np.ndarray:
@@ -363,7 +367,7 @@ def maxent_linear_predict(spark, sf):
     return binary_vectors(spark, sf).select("user_id", "doc_id", F.round(1 / (1 + F.exp(-score)), 6).alias("prob_good"))
 
 
-def maxent_weights(spark, sf) -> DataFrame:
+def maxent_weights(patterns: DataFrame) -> DataFrame:
     """user_id, class, place (features from 1, then the slack feature), weight: trained by scaling from zero weights."""
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -371,19 +375,28 @@ def maxent_weights(spark, sf) -> DataFrame:
         w = fit_scaling(x, pdf["good"].to_numpy(float), pdf["n"].to_numpy(float))
         return pd.DataFrame([(pdf["user_id"].iloc[0], k, j + 1, float(v)) for k, row in enumerate(w) for j, v in enumerate(row)], columns=["user_id", "class", "place", "weight"])
 
-    return patterns(spark, sf).groupBy("user_id").applyInPandas(train, "user_id string, class int, place int, weight double")
+    return patterns.groupBy("user_id").applyInPandas(train, "user_id string, class int, place int, weight double")
 
 
 def linear_scores(vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """user_id, doc_id, prob_good: the softmax of each class's sum of weights of the features that are on."""
-    bits = vectors.select("user_id", "doc_id", F.length("vector").alias("n"), F.posexplode(F.filter(F.split("vector", ""), lambda c: c != "")).alias("at", "bit"))
-    on = bits.select("user_id", "doc_id", (F.col("at") + 1).alias("place"), F.col("bit").cast("double").alias("value"))
-    slack = bits.groupBy("user_id", "doc_id").agg((F.max("n") + 1).cast("int").alias("place"), F.sum(1 - F.col("bit").cast("double")).alias("value"))
-    by_class = on.unionByName(slack).join(weights, ["user_id", "place"]).groupBy("user_id", "doc_id").agg(*[F.sum(F.when(F.col("class") == k, F.col("value") * F.col("weight"))).alias(c) for k, c in ((0, "bad"), (1, "good"))])
-    return by_class.select("user_id", "doc_id", F.round(1 / (1 + F.exp(F.col("bad") - F.col("good"))), 6).alias("prob_good"))
+    """user_id, doc_id, prob_good: the softmax of each class's sum of weights of the features that are on.
+
+    A user's weights are one map by place, so that a document stays one row.
+    """
+    lead = F.sum(F.when(F.col("class") == 1, F.col("weight")).otherwise(-F.col("weight")))
+    by_user = weights.groupBy("user_id", "place").agg(lead.alias("lead")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "lead"))).alias("leads"))
+
+    def of(place: Column) -> Column:
+        return F.coalesce(F.try_element_at("leads", place.cast("int")), F.lit(0.0))
+
+    bits = F.filter(F.split("vector", ""), lambda c: c != "")
+    on = F.aggregate(F.transform(bits, lambda b, i: b.cast("double") * of(i + 1)), F.lit(0.0), lambda t, v: t + v)
+    slack = F.aggregate(bits, F.lit(0.0), lambda t, b: t + 1 - b.cast("double")) * of(F.length("vector") + 1)
+    return vectors.join(by_user, "user_id").select("user_id", "doc_id", F.round(1 / (1 + F.exp(-(on + slack))), 6).alias("prob_good"))
 
 
 @query("maxent_trained_predict")
 def maxent_trained_predict(spark, sf):
     """Class probabilities of every labelled document under trained weights."""
-    return linear_scores(binary_vectors(spark, sf), maxent_weights(spark, sf))
+    vectors = materialize(binary_vectors(spark, sf), "binary-vectors")
+    return linear_scores(vectors, maxent_weights(counted(vectors)))

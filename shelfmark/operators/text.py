@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import MODIFIERS, PHRASES, STOP_WORDS, WEIGHTS, caveat, clean_tokens, letter_words, phrased_words, sentences, simple_tag
 from ..plans.registry import query
+from ..plans.stages import materialize
 from ..sources.tables import table
 
 _STOP = ", ".join(f"('{w}')" for w in STOP_WORDS)
@@ -49,10 +50,13 @@ def inverse_frequency(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def tf_idf(spark: SparkSession, sf: str) -> DataFrame:
-    tok = tokens(spark, sf)
-    tf = term_frequency(tok, vocabulary(tok))
-    idf = inverse_frequency(tf, table(spark, sf, "documents").agg(F.count("*").alias("N")))
-    return tf.join(idf, "term").select("doc_id", "term", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
+    """Words are counted once per document and written; vocabulary, shares and document frequencies read the counts."""
+    counts = materialize(tokens(spark, sf).groupBy("doc_id", "term").agg(F.count("*").alias("c")), "word-counts")
+    voc = counts.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("df")).where("n >= 10").drop("n").join(F.broadcast(stop_words(spark)), "term", "left_anti")
+    n_docs = table(spark, sf, "documents").agg(F.count("*").alias("N"))
+    idf = voc.join(F.broadcast(n_docs)).select("term", (1 + F.ln(F.col("N") / (F.col("df") + 1))).alias("idf"))
+    tf = F.col("c") / F.sum("c").over(Window.partitionBy("doc_id"))
+    return counts.join(idf, "term").select("doc_id", "term", F.round(tf * F.col("idf"), 9).alias("weight"))
 
 
 @query("sentences", "SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[.?!]'), lambda s: s <> '')) AS sentence FROM documents")
