@@ -28,7 +28,14 @@ def start(u: DataFrame, d: int, column: str, runs: int = 1, ones: bool = False)
 
 
 def _both(cells: DataFrame, mine: DataFrame, other: DataFrame) -> DataFrame:
-    return cells.join(mine.withColumnRenamed("f", "a"), "id").join(other.select("run", F.col("id").alias("other"), F.col("f").alias("b")), ["run", "other"])
+    """Cells with the factors a and b of each run. All runs of an id travel as one map, and the join by id comes last: an aggregate by run and id has its rows in place."""
+
+    def packed(t: DataFrame, key: str, name: str) -> DataFrame:
+        return t.groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("run", "f"))).alias(name))
+
+    met = cells.join(packed(other, "other", "of"), "other").join(packed(mine, "id", "mine"), "id")
+    runs = met.select("id", "other", "rating", "of", F.explode("mine").alias("run", "a"))
+    return runs.select("run", "id", "other", "rating", "a", F.try_element_at("of", F.col("run")).alias("b")).where("b is not null")
 
 
 def _dot() -> Column:
