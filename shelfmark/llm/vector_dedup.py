@@ -1,17 +1,20 @@
-"""Near-duplicate embeddings by a forest of random-projection trees with spill.
+"""Near-duplicate embeddings by a forest of random-projection trees with spill, one tree per label.
 
-Within each label (and vector length: only vectors of one length have a cosine), every tree splits recursively at the
-median of a random projection; vectors near the threshold go both ways (spill), so that a close pair rarely comes
-apart, and several trees make a miss unlikely: a pair at cosine 0.98 differs by 0.2 at most, by about 0.025 along a
-random direction of 64. The upper part of the trees is fitted on a bounded sample (SAMPLE vectors at most) and every
-vector goes down it; leaves that hold more than BLOCK units are split on by random projections at medians over all
-their units, round by round, so that leaves stay bounded however many vectors there are. Pairs are compared within
-leaves only, in double precision on the given vectors, and links are united to components.
+Within each label (and vector length: only vectors of one length have a cosine), a tree splits recursively at the
+median of a projection; vectors near the threshold go both ways (spill), so that a close pair rarely comes apart: a
+pair at cosine 0.98 differs by 0.2 at most, by about 0.025 along a random direction of 64, and the spill of 0.03 either
+way is 1.2 times that whatever the length. Of some random directions, and these turned towards the rows' main axes, the
+one counts that sends the fewest rows both ways. A leaf is a cell of about CELL units, all of whose pairs are compared:
+a few splits in all, so that a vector is shipped about 1.2 times per doubling beyond CELL units of its label, and up
+to that number the result is exact. Trees are fitted on a bounded sample (SAMPLE vectors at most) and every vector goes
+down; cells that hold far more units are split on by random projections at medians over all their units, round by
+round, so that cells stay bounded however many vectors there are. Products in single precision find which pairs may
+link, near the bound double precision on the given vectors decides, and links are united to components.
 
-Equal vectors of a label are one unit with a weight. A leaf of more than BLOCK units (a large group of near copies
-can't be split by any hyperplane) is dealt out as pairs of blocks, each a task of bounded memory, without a cap. A
-pair that shares several leaves counts in the one with the smallest number. Tasks return counts and a spanning
-forest of their links, never pairs.
+Equal vectors of a label are one unit with a weight. A cell of more than two times its size (a large group of near
+copies can't be split by any hyperplane) is dealt out as pairs of blocks, each a task of bounded memory, without a cap.
+A pair that shares several cells counts in the one with the smallest number. Tasks return counts and a spanning
+forest of their links, never pairs; vectors are written once, and results join by hashes of the vectors.
 
 Cases: vectors that are null, zero or hold null, NaN or infinite components, and rows with a null
 label, link with nothing; a null vec_id gives a null component; repeated rows with one vec_id are copies linked with
@@ -28,23 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, give_back, put, whole_groups, work_dir
+from .common import drop, give_back, put, release, whole_groups, work_dir
 from .components import connected
 from .vectors import matrix, sampled, unit, usable
 
-SAMPLE, TREES, SPILL, LEAF, BLOCK = 20_000, 4, 0.03, 256, 1024
+SAMPLE = 20_000
+#: Units that a cell should hold, less where vectors are long; half of the units of a block; the blocks of a cell that is split on.
+CELL, CELL_FLOATS, MANY_BLOCKS = 16_384, 1 << 20, 4
+#: Spill as a multiple of what a pair at the bound differs by along a random direction.
+SPILL = 1.2
+#: Directions that a node chooses from; rows and columns of a tile of products.
+DIRECTIONS, TILE = 8, (1024, 2048)
 #: Projections by which a large leaf splits at a time, and the part of a leaf that a split must not exceed.
 SPLITS, LEAST_SPLIT = 3, 0.85
 
 
 @dataclass
 class Forest:
-    """Trees as arrays: left < 0 marks a leaf, whose number is -left - 1. roots: (tree, kind) -> node; a kind is a label and a length."""
+    """Trees as arrays: left < 0 marks a leaf, whose number is -left - 1. roots: kind -> node; a kind is a label and a length."""
 
     directions: list[np.ndarray] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
     children: list[tuple[int, int]] = field(default_factory=list)
-    roots: dict[tuple[int, int], int] = field(default_factory=dict)
+    roots: dict[int, int] = field(default_factory=dict)
     leaves: int = 0
 
     def grow(self, rows: np.ndarray, rng: np.random.Generator, spill: float, leaf: int) -> int:
@@ -52,53 +61,66 @@ class Forest:
         self.children.append((0, 0))
         self.directions.append(np.zeros(rows.shape[1]))
         self.thresholds.append(0.0)
-        for _ in range(3 if len(rows) > leaf else 0):
-            d = rng.standard_normal(rows.shape[1])
-            d /= np.sqrt(d @ d)
+        if len(rows) > leaf:
+            d = rng.standard_normal((rows.shape[1], DIRECTIONS))
+            for _ in range(3):  # half of them turn towards the main axes
+                d[:, ::2] = rows.T @ (rows @ d[:, ::2] - (rows @ d[:, ::2]).mean(0))
+                d /= np.sqrt((d * d).sum(0))
             p = rows @ d
-            t = float(np.median(p))
+            t = np.median(p, axis=0)
+            best = int(np.argmin((np.abs(p - t) <= spill).sum(0)))
+            p, t = p[:, best], float(t[best])
             left, right = rows[p <= t + spill], rows[p >= t - spill]
             if max(len(left), len(right)) < LEAST_SPLIT * len(rows):
-                self.directions[node], self.thresholds[node] = d, t
+                self.directions[node], self.thresholds[node] = d[:, best].copy(), t
                 self.children[node] = (self.grow(left, rng, spill, leaf), self.grow(right, rng, spill, leaf))
                 return node
         self.leaves += 1
         self.children[node] = (-self.leaves, -self.leaves)
         return node
 
-    def leaves_of(self, rows: np.ndarray, kind: int, spill: float, trees: int) -> list[list[int]]:
+    def leaves_of(self, rows: np.ndarray, kind: int, spill: float) -> list[list[int]]:
         """For each row the numbers of its leaves, ascending; a kind that the sample lacks is one leaf."""
+        root = self.roots.get(kind)
+        if root is None:
+            return [[kind | (1 << 62) if kind >= 0 else kind] for _ in rows]
         out: list[list[int]] = [[] for _ in rows]
-        for tree in range(trees):
-            root = self.roots.get((tree, kind))
-            if root is None:
-                return [[kind | (1 << 62) if kind >= 0 else kind] for _ in rows]
-            todo = [(root, np.arange(len(rows)))]
-            while todo:
-                node, at = todo.pop()
-                left, right = self.children[node]
-                if left < 0:
-                    for i in at.tolist():
-                        out[i].append(-left - 1)
-                    continue
-                p = rows[at] @ self.directions[node]
-                for child, go in ((left, at[p <= self.thresholds[node] + spill]), (right, at[p >= self.thresholds[node] - spill])):
-                    if len(go):
-                        todo.append((child, go))
+        todo = [(root, np.arange(len(rows)))]
+        while todo:
+            node, at = todo.pop()
+            left, right = self.children[node]
+            if left < 0:
+                for i in at.tolist():
+                    out[i].append(-left - 1)
+                continue
+            p = rows[at] @ self.directions[node]
+            for child, go in ((left, at[p <= self.thresholds[node] + spill]), (right, at[p >= self.thresholds[node] - spill])):
+                if len(go):
+                    todo.append((child, go))
         return [sorted(x) for x in out]
 
 
-def fit_forest(kinds: dict[int, np.ndarray], share: float, trees: int, spill: float, leaf: int, seed: int) -> Forest:
+def spill_of(least: float, length: int) -> float:
+    """How far beyond a threshold vectors go both ways; from half of the largest distance of a pair on, no pair comes apart."""
+    far = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    return min(far / 2, SPILL * far / float(np.sqrt(length)))
+
+
+def cell_of(length: int) -> int:
+    return max(1024, min(CELL, CELL_FLOATS // max(1, length))) if CELL > 1024 else CELL
+
+
+def fit_forest(kinds: dict[int, np.ndarray], share: float, least: float, seed: int) -> Forest:
     """Trees on sampled unit vectors by kind; share: the part of all vectors that the sample is."""
     forest = Forest()
     rng = np.random.default_rng(seed)
-    for tree in range(trees):
-        for kind in sorted(kinds):
-            forest.roots[tree, kind] = forest.grow(kinds[kind], rng, spill, max(8, round(leaf * share)))
+    for kind in sorted(kinds):
+        length = kinds[kind].shape[1]
+        forest.roots[kind] = forest.grow(kinds[kind], rng, spill_of(least, length), max(8, round(cell_of(length) * share)))
     return forest
 
 
-def split_on(placed: DataFrame, most: int, spill: float, seed: int) -> DataFrame:
+def split_on(placed: DataFrame, most: int, least: float, seed: int) -> DataFrame:
     """placed (unit, v, leaves and more) with leaves of at most `most` units, but for those that no projection splits."""
     spark = placed.sparkSession
     vector = placed.schema["v"].dataType.simpleString()
@@ -126,6 +148,7 @@ def split_on(placed: DataFrame, most: int, spill: float, seed: int) -> DataFrame
         at = put(todo.mapInArrow(project, schema), work_dir(spark, "forest-projected"))
         middle = at.groupBy("leaf").agg(*[F.percentile_approx(f"p{i}", 0.5).alias(f"t{i}") for i in range(SPLITS)])
         rows = at.join(middle, "leaf").withColumn("code", F.lit(0))
+        spill = F.least(F.lit(spill_of(least, 1)), SPILL * (2 - 2 * least) ** 0.5 / F.sqrt(F.size("v")))
         for i in range(SPLITS):
             p, t = F.col(f"p{i}"), F.col(f"t{i}")
             ways = F.when(p < t - spill, F.array(F.lit(0))).when(p > t + spill, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
@@ -143,89 +166,121 @@ def split_on(placed: DataFrame, most: int, spill: float, seed: int) -> DataFrame
     return put(placed.drop("leaves").join(leaves, "unit"), work_dir(spark, "forest-leaves"))
 
 
-def compare(ids: np.ndarray, rows: np.ndarray, weight: np.ndarray, leaf_lists: list[list[int]], block: np.ndarray, leaf: int, x: int, y: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between blocks x and y of a leaf whose smallest common leaf this is: weighted counts, and for each member a member it is reachable from."""
-    one, two = (np.flatnonzero(block == b) for b in (x, y))
-    earlier = {n: i for i, n in enumerate(sorted({n for xs in leaf_lists for n in xs if n < leaf}))}
-    member = np.zeros((len(ids), max(1, len(earlier))), np.float32)
-    for i, xs in enumerate(leaf_lists):
+def shared_earlier(lists: list[np.ndarray], leaf: int) -> np.ndarray | None:
+    """Rows of 0 and 1 over the leaves before this one that units are in too; None: there are none."""
+    earlier = {n: i for i, n in enumerate(sorted({n for xs in lists for n in xs if n < leaf}))}
+    if not earlier:
+        return None
+    member = np.zeros((len(lists), len(earlier)), np.float32)
+    for i, xs in enumerate(lists):
         for n in xs:
             if n < leaf:
                 member[i, earlier[n]] = 1
-    counts = np.zeros(len(ids), np.int64)
-    reach = np.arange(len(ids))
-    links = (rows[one] @ rows[two].T >= least) & (member[one] @ member[two].T == 0) & (ids[one][:, None] != ids[two][None, :])
-    i, j = np.nonzero(links)
-    i, j = one[i], two[j]
-    np.add.at(counts, i, weight[j])
-    if x != y:
-        np.add.at(counts, j, weight[i])
-    while True:
-        new = reach.copy()
-        np.minimum.at(new, i, reach[j])
-        np.minimum.at(new, j, reach[i])
-        new = new[new]
-        if (new == reach).all():
-            return counts, reach
-        reach = new
+    return member
+
+
+def compare(rows: np.ndarray, weight: np.ndarray, member: np.ndarray | None, one: np.ndarray, two: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the units of one and those of two (the same, or none in common) whose smallest common leaf this is: weighted counts, and for each unit the smallest that it reaches."""
+    single = rows.astype(np.float32)
+    doubt = (rows.shape[1] + 8) * 2.4e-7
+    counts, reach = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    same = len(one) == len(two) and bool((one == two).all())
+    for a in range(0, len(one), TILE[0]):
+        x = one[a : a + TILE[0]]
+        for b in range(a if same else 0, len(two), TILE[1]):
+            y = two[b : b + TILE[1]]
+            near = single[x] @ single[y].T
+            may = near >= least - doubt
+            if same:
+                may &= x[:, None] < y[None, :]
+            i = np.flatnonzero(may.any(1))
+            if not len(i):
+                continue
+            j = np.flatnonzero(may[i].any(0))
+            links = may[np.ix_(i, j)]
+            close = np.argwhere(links & (near[np.ix_(i, j)] <= least + doubt))
+            i, j = x[i], y[j]
+            for at in range(0, len(close), 1 << 16):
+                p, q = close[at : at + (1 << 16)].T
+                links[p, q] = np.einsum("ij,ij->i", rows[i[p]], rows[j[q]]) >= least
+            if member is not None:
+                links &= member[i] @ member[j].T == 0
+            counts[i] += links @ weight[j]
+            counts[j] += weight[i] @ links
+            u, v = np.nonzero(links)
+            u, v = i[u], j[v]
+            while len(u):
+                apart = reach[u] != reach[v]
+                u, v = u[apart], v[apart]
+                np.minimum.at(reach, np.maximum(reach[u], reach[v]), np.minimum(reach[u], reach[v]))
+                while (reach[reach] != reach).any():
+                    reach = reach[reach]
+    return counts, reach
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    kind = F.xxhash64("label", F.size("v")).alias("kind")
+    # a unit's number, and a second hash by which rows find it again; equal vectors of a label are one unit
+    numbers = [F.xxhash64(F.lit(n), "label", "v").alias(c) for n, c in ((1, "unit"), (2, "check"))]
     rows = usable(vectors, id_col, vector_col, F.col(label_col).cast("long").alias("label")).where("label is not null")
-    units = put(rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")), work_dir(spark, "forest-units"))
-    # a unit's number: two vectors under one vec_id are units of their own
-    units = put(units.select("*", kind, F.xxhash64("label", "v", "first").alias("unit")), work_dir(spark, "forest-numbered"))
-    total = units.count()
-    some = units.where(sampled(F.col("unit"), total, SAMPLE, seed)).orderBy("unit").select("kind", "v").toArrow()
+    kind = F.xxhash64("label", F.size("v")).alias("kind")
+    total = rows.select(numbers[0]).agg(F.approx_count_distinct("unit")).first()[0]
+    some = rows.where(sampled(numbers[0], total, SAMPLE, seed)).groupBy("label", "v").agg(F.count("*").alias("n")).select(kind, numbers[0], "v").orderBy("unit").toArrow()
     kinds = some.column("kind").to_numpy()
     fitted = {int(k): unit(matrix(some.column("v").take(pa.array(np.flatnonzero(kinds == k))))) for k in np.unique(kinds)}
-    forest = spark.sparkContext.broadcast(fit_forest(fitted, len(some) / max(1, total), TREES, SPILL, LEAF, seed))
+    length = max((x.shape[1] for x in fitted.values()), default=1)
+    forest = spark.sparkContext.broadcast(fit_forest(fitted, min(1.0, SAMPLE / max(1, total)), least, seed))
+    block = 2 * cell_of(length)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             for k in np.unique(kinds).tolist():
                 part = batch.take(pa.array(np.flatnonzero(kinds == k)))
-                leaves = forest.value.leaves_of(unit(matrix(part.column("v"))), k, SPILL, TREES)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("unit", "weight", "v")), pa.array(leaves, pa.list_(pa.int64()))], ["unit", "weight", "v", "leaves"])
+                x = unit(matrix(part.column("v")))
+                leaves = forest.value.leaves_of(x, k, spill_of(least, x.shape[1]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("unit", "check", "first", "weight", "v")), pa.array(leaves, pa.list_(pa.int64()))], ["unit", "check", "first", "weight", "v", "leaves"])
         give_back()
 
-    vector = units.schema["v"].dataType.simpleString()
-    placed = put(units.mapInArrow(descend, f"unit long, weight long, v {vector}, leaves array<long>"), work_dir(spark, "forest-leaves"))
-    placed = split_on(placed, BLOCK, SPILL, seed)
-    member = placed.select("*", F.explode("leaves").alias("leaf"))
-    size = member.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = member.join(size, "leaf").withColumn("block", F.pmod(F.xxhash64("unit", "leaf"), F.col("blocks")).cast("int"))
+    vector = rows.schema["v"].dataType.simpleString()
+    units = rows.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).select(*numbers, kind, "first", "weight", "v")
+    placed = put(units.mapInArrow(descend, f"unit long, check long, first long, weight long, v {vector}, leaves array<long>"), work_dir(spark, "forest-leaves"))
+    release(spark, 0)
+    placed = split_on(placed, MANY_BLOCKS * block, least, seed)
+    sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # few: each holds over a block of units
+    large = sizes.where("blocks > 1")
+    member = placed.select("unit", "weight", "v", F.when(F.size("leaves") > 1, F.col("leaves")).alias("leaves"), F.explode("leaves").alias("leaf"))
+    blocks = member.join(F.broadcast(large), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("unit", "leaf"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = blocks.select("unit", "weight", "v", "leaves", "leaf", "block", other.alias("other"))
     dealt = dealt.select("unit", "weight", "v", "leaves", "leaf", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     dealt = dealt.withColumn("task", F.xxhash64("leaf", "x", "y")).repartition("task").sortWithinPartitions("task", "leaf", "x", "y", "unit")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "task", 4 * BLOCK):
+        for table in whole_groups(batches, "task", block):
             keys = np.stack([table.column(c).to_numpy() for c in ("leaf", "x", "y")], 1)
-            ids, weight, block = (table.column(c).to_numpy() for c in ("unit", "weight", "block"))
-            leaf_lists = table.column("leaves").to_pylist()
+            ids, weight, at = (table.column(c).to_numpy() for c in ("unit", "weight", "block"))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                x = unit(matrix(table.column("v").slice(a, b - a)))  # of one leaf, so of one length
-                n, reach = compare(ids[a:b], x, weight[a:b], leaf_lists[a:b], block[a:b], *keys[a].tolist(), least)
+                leaf, x, y = keys[a].tolist()
+                member = shared_earlier([xs or () for xs in table.column("leaves").slice(a, b - a).to_pylist()], leaf)
+                v = unit(matrix(table.column("v").slice(a, b - a)))  # of one leaf, so of one length
+                n, reach = compare(v, weight[a:b], member, *(np.flatnonzero(at[a:b] == k) for k in (x, y)), least)
                 on = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][on]), pa.array(ids[a:b][reach[on]]), pa.array(n[on])], ["a", "b", "n"])
 
     found = put(dealt.mapInArrow(work, "a long, b long, n long"), work_dir(spark, "forest-links"))
     linked = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "unit")
-    first = units.select("unit", "first")
+    first = placed.select("unit", "first")
     at = connected(found.select("a", "b")).withColumnRenamed("id", "unit")
     # components by unit number, named by their smallest vec_id
     least_id = at.join(first, "unit").groupBy("component").agg(F.min("first").alias("named"))
     at = at.join(least_id, "component").select("unit", "named")
-    by_unit = units.join(linked, "unit", "left").join(at, "unit", "left").select("label", "v", F.coalesce("named", "first").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    by_unit = placed.select("unit", "check", "first", "weight").join(linked, "unit", "left").join(at, "unit", "left").select("unit", "check", F.coalesce("named", "first").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     part = put(by_unit, work_dir(spark, "forest-result"))
-    drop(units, placed, found)
-    out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
-    out = out.join(part, ["label", "v"], "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
+    drop(placed, found)
+    out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v")).select("vec_id", *numbers)
+    out = out.join(part, ["unit", "check"], "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -275,6 +275,23 @@ def test_forest_recall_on_many_vectors(spark, monkeypatch, sample):
     assert sum(got.values()) >= 0.95 * want.sum()
 
 
+@pytest.mark.parametrize("sample, cell, many, most", [(20_000, 16_384, 4, 1), (20_000, 1024, 4, 4), (600, 300, 1, 12)])
+def test_vectors_are_shipped_to_few_cells(spark, monkeypatch, sample, cell, many, most):
+    """Whole cells, small ones, and ones that are split on and dealt out in blocks: the links, and how often a vector is shipped."""
+    for name, value in (("SAMPLE", sample), ("CELL", cell), ("MANY_BLOCKS", many)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    placed = []
+    split_on = vector_dedup.split_on
+    monkeypatch.setattr(vector_dedup, "split_on", lambda *a: placed.append(r := split_on(*a)) or placed.append(r.agg(F.avg(F.size("leaves"))).first()[0]) or r)
+    x = _clustered(8, 12_000, 64)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(df).collect()}
+    want = np.concatenate([((x[a : a + 1000] @ x.T) >= 0.98).sum(1) - 1 for a in range(0, len(x), 1000)])
+    assert all(got[i] <= want[i] for i in range(len(x)))
+    assert sum(got.values()) >= (0.95 if cell < len(x) else 1) * want.sum() > 1000
+    assert placed[-1] <= most
+
+
 def test_search_recall_on_many_vectors(spark):
     x = _clustered(4, 20_000)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
