@@ -75,3 +75,23 @@ def test_packs_give_back_what_they_hold():
     for values in (rng.integers(-5, 5, 100), rng.integers(0, 1 << 60, 100), rng.normal(0, 1, 100), rng.integers(0, 9, 100) / 2, np.zeros(0), np.array([0.0, -0.0, 1e300, np.nan, np.inf])):
         (back,) = cf.unpack(cf.pack([cf.narrowed(values)]))
         assert np.array_equal(back.astype(values.dtype), values, equal_nan=values.dtype.kind == "f") and (np.signbit(back) == np.signbit(values)).all()
+
+
+def test_no_score_is_a_row_of_a_shuffle(spark):
+    train, targets = cf.train_and_targets(spark, "/root/testdata/sf0.001")
+    plan = cf.neighbours(train, targets)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and not any(c in line for line in exchanges for c in ("item_2", "neighbour", "metric"))
+
+
+def test_rounding_of_arrays_is_that_of_columns(spark):
+    values = [0.0, 2.5e-10, 1.4999999995, 0.1234567885, 1e12 + 0.1234567894, *np.random.default_rng(9).normal(0, 3, 500).tolist()]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(F.round("x", 9)).collect()]
+    assert cf.rounded_array(np.array(values), 9).tolist() == want
+
+
+def test_held_ratings_without_item_or_training_keep_their_row(spark):
+    train = cf.with_mean(spark.createDataFrame([(1, 10, 4.0), (1, 11, 2.0), (2, 10, 5.0), (2, 11, 1.0), (2, 12, 3.0), (3, 12, 3.0), (3, 11, 2.0)], "user_id long, item_id long, rating double"))
+    held = spark.createDataFrame([("dev", 1, 12, 3.0), ("dev", 1, None, 3.0), ("dev", 9, 10, 3.0), ("eval", 1, 12, 4.0)], "part string, user_id long, item_id long, actual double")
+    got = {(r.part, r.user_id, r.item_id): (r.neighbours, r.mean) for r in cf.answered(train, held, ("euc",)).collect()}
+    assert got == {("dev", 1, 12): ([10, 11], 3.0), ("eval", 1, 12): ([10, 11], 3.0), ("dev", 1, None): (None, 3.0), ("dev", 9, 10): (None, None)}
