@@ -2,11 +2,13 @@
 
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import cf
+from shelfmark.operators import cf, prep
 from shelfmark.plans.registry import QUERIES
 
 
@@ -114,3 +116,38 @@ def test_both_orders_are_written_in_twice_the_bytes_of_one(spark, tmp_path):
         QUERIES[name](spark, "/root/testdata/sf0.01").write.parquet(f"{tmp_path}/{name}")
         size[name] = sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
     assert size["item_pair_cosine_ordered"] < 2.5 * size["item_pair_cosine"]
+
+
+def test_split_is_one_exchange_by_user(spark):
+    plan = prep.split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(" in line for line in plan.splitlines()) == 1
+
+
+def test_split_of_repeated_and_missing_values_is_that_of_sql(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    orders = [(k, None if k % 9 == 0 else k % 9) for k in range(60)]
+    lines = [(k, n, None if (k + n) % 7 == 0 else int(rng.integers(0, 4)), None if (k * n) % 11 == 10 else float(rng.integers(1, 4))) for k in range(60) for n in range(int(rng.integers(0, 5)))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"WITH {prep.SPLIT} SELECT user_id, item_id, rating, part FROM split").fetchall()
+    assert sorted(map(str, map(tuple, prep.split(spark, str(tmp_path)).collect()))) == sorted(map(str, want))
+
+
+def test_pairs_nobody_asks_for_are_not_summed(monkeypatch):
+    buckets = cf.Buckets(np.zeros(0, np.int64), np.ones(1, np.int64), {})
+    of = pa.list_(pa.struct([("item_id", pa.int64()), ("rating", pa.float64())]))
+
+    def packs(lists, others, mean):
+        batch = pa.RecordBatch.from_arrays([pa.array(mean, pa.float64()), pa.array([[(i, float(r)) for i, r in x] for x in lists], of), pa.array(others, of)], ["mean", "l", "m"])
+        return [p for b in cf._item_lists(buckets, True)(iter([batch])) for p in b.column("pack").to_pylist()]
+
+    pairs = packs([[(i, i % 5 + 1) for i in range(200)]], [None], [2.0])
+    questions = packs([[(7, 0.0)]], [[(9, 0.0), (11, 0.0)]], [2 * 3])
+    summed, sizes = cf._summed, []
+    monkeypatch.setattr(cf, "_summed", lambda held: sizes.append(sum(len(h[0]) for h in held)) or summed(held))
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 2, pa.int32()), pa.array([0, 1]), pa.array([*questions, *pairs], pa.binary())], ["bucket", "kind", "pack"])
+    (got,) = [cf.unpack(p) for b in cf._answers(64, ("euc",))(iter([batch])) for p in b.column("pack").to_pylist()]
+    assert sizes == [2] and [c.tolist() for c in got] == [[3, 0], [7, 7], [9, 11], [2.0, 1.0]]
