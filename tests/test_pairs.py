@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import cf, prep
-from shelfmark.plans.registry import QUERIES
+from shelfmark.plans.registry import ORACLES, QUERIES
 
 
 def plain(rows):
@@ -176,3 +176,28 @@ def test_counts_without_a_corater_equal_a_plain_count(spark, monkeypatch):
             total[u] += none
             want.append((u, i, none, total[u]))
     assert sorted(map(tuple, cf.no_corated(train, targets).collect())) == want
+
+
+def test_no_prediction_is_a_row(spark):
+    plan = QUERIES["accuracy_rmse_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "preds" not in plan
+
+
+@pytest.mark.parametrize("name", ["accuracy_rmse_report", "accuracy_by_k"])
+def test_reports_of_missing_values_are_those_of_sql(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(cf, "JUDGED", 7)
+    rng = np.random.default_rng(11)
+    orders = [(k, None if k % 13 == 12 else k % 12) for k in range(90)]
+    lines = [(k, n, None if (k + n) % 17 == 0 else int(rng.integers(0, 14)), None if (k * n) % 19 == 18 else float(rng.integers(1, 6))) for k in range(90) for n in range(int(rng.integers(0, 6)))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLES[name]).df()
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    keys = [c for c in ("part", "metric", "normalized", "k") if c in want]
+    got, want = (x.sort_values(keys).reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) > 100
+    for c in want.columns:
+        assert (got[c] == want[c]).all() if c in keys else np.allclose(got[c].astype(float), want[c].astype(float), atol=1.01e-6 if c == "accuracy" else 1.01e-4, equal_nan=True)
