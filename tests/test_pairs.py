@@ -163,12 +163,12 @@ def test_counts_without_a_corater_equal_a_plain_count(spark, monkeypatch):
     rng = np.random.default_rng(12)
     cells = {(u, int(i)) for u in range(30) for i in rng.integers(0, 60, rng.integers(0, 9))}
     asked = {(u, int(i)) for u in range(32) for i in rng.integers(0, 70, 10)}
-    train = spark.createDataFrame([(u, i, 3.0, 3.0) for u, i in cells] + [(1, None, 3.0, 3.0), (40, None, 2.0, 2.0)], "user_id long, item_id long, rating double, mean double")
-    targets = spark.createDataFrame([*asked, (1, None), (None, 5), (40, 5)], "user_id long, item_id long")
+    train = spark.createDataFrame([(u, i, 3.0, 3.0) for u, i in cells] + [(1, None, 3.0, 3.0), (40, None, 2.0, 2.0), (41, 3, 2.0, 2.0), (41, 4, 2.0, 2.0)], "user_id long, item_id long, rating double, mean double")
+    targets = spark.createDataFrame([*asked, (1, None), (None, 5), (40, 5), (41, None)], "user_id long, item_id long")
     of = defaultdict(set)
     for u, i in cells:
         of[u].add(i)
-    met = {(i, j) for items in of.values() for i in items for j in items}
+    met = {(i, j) for items in [*of.values(), {3, 4}] for i in items for j in items}
     want, total = [], defaultdict(int)
     for u, i in sorted(asked):
         if of[u] - {i}:
@@ -201,3 +201,8 @@ def test_reports_of_missing_values_are_those_of_sql(spark, tmp_path, monkeypatch
     assert len(got) == len(want) > 100
     for c in want.columns:
         assert (got[c] == want[c]).all() if c in keys else np.allclose(got[c].astype(float), want[c].astype(float), atol=1.01e-6 if c == "accuracy" else 1.01e-4, equal_nan=True)
+
+
+def test_split_sorts_ratings_once(spark):
+    plan = prep.split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line for line in plan.splitlines()) == 2  # the ratings, and what is left of them
