@@ -206,3 +206,9 @@ def test_reports_of_missing_values_are_those_of_sql(spark, tmp_path, monkeypatch
 def test_split_sorts_ratings_once(spark):
     plan = prep.split(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert sum("Sort [" in line for line in plan.splitlines()) == 2  # the ratings, and what is left of them
+
+
+def test_items_of_text_are_summed_too(spark):
+    rows = [("u", "b", 2.0), ("u", "a", 3.0), ("v", "a", 1.0), ("v", "b", 4.0), ("v", "10", 5.0), ("v", None, 5.0)]
+    got = {(r.item_1, r.item_2): (r.n, r.s12) for r in cf.pair_sums(spark.createDataFrame(rows, "user_id string, item_id string, rating double"), ("n", "s12")).collect()}
+    assert got == {("a", "b"): (2, 10.0), ("10", "a"): (1, 5.0), ("10", "b"): (1, 20.0)}
